@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moorgrid.llm import bpe, canonical, leakage, term_counts
+from moorgrid.llm import bpe, canonical, leakage, near_dup, term_counts
 from moorgrid.sources.tables import read
 
 
@@ -20,6 +20,15 @@ def p3_terms(spark, d):
     return _terms(spark, d).select("term", "n_records", "n_occurrences", "mark")
 
 
+def p7_found(spark, d):
+    found = near_dup.pairs(read(spark, d, "search_documents"), "url", "text", t=0.5, k=3, min_words=40)
+    return found.select(F.col("a").alias("url_a"), F.col("b").alias("url_b"))
+
+
+def p7_classes(spark, d):
+    return near_dup.classes(read(spark, d, "search_documents"), "url", "text", t=0.5, k=3, min_words=40)
+
+
 def p8_ids(spark, d):
     return bpe.token_ids(read(spark, d, "documents"), "doc_id", "text")
 
@@ -43,7 +52,7 @@ def p10_canonical(spark, d):
     return canonical.canonical(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
 
 _TERMS = """r AS (SELECT id, min(query) AS q FROM search_queries WHERE query IS NOT NULL AND id IS NOT NULL GROUP BY id),
 t AS (SELECT id, unnest(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')) AS term FROM r),
@@ -56,7 +65,13 @@ ds AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS s FROM (SELECT doc_id,
 its AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
 l AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN its USING (s))"""
 
+_LIKE = """w AS (SELECT url, regexp_extract_all(lower(any_value(text)), '[\\p{L}\\p{N}]+') AS w FROM search_documents WHERE url IS NOT NULL AND text IS NOT NULL GROUP BY url),
+g AS (SELECT DISTINCT url, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT url, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+n AS (SELECT url, count(*) AS n FROM g GROUP BY url),
+o AS (SELECT a.url AS url_a, b.url AS url_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.url < b.url GROUP BY 1, 2)"""
+
 ORACLES = {
+    "p7_found": f"WITH {_LIKE} SELECT url_a, url_b FROM o JOIN n x ON x.url = url_a JOIN n y ON y.url = url_b WHERE o >= 0.5 * (x.n + y.n - o)",
     "p3_found": f"WITH {_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT term, n_records, n_occurrences, mark FROM m",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM l",
