@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moorgrid.llm import bpe, canonical, leakage, near_dup, term_counts
+from moorgrid.llm import bpe, canonical, leakage, near_dup, site_lines, term_counts
 from moorgrid.sources.tables import read
 
 
@@ -20,6 +20,25 @@ def p3_terms(spark, d):
     return _terms(spark, d).select("term", "n_records", "n_occurrences", "mark")
 
 
+def _site(spark, d):
+    return read(spark, d, "search_documents"), "url", "address", "text"
+
+
+def p4_found(spark, d):
+    kept, _ = site_lines.repeated(*_site(spark, d))
+    return site_lines.frequent_lines(kept).select(F.col("source").alias("address"), "line")
+
+
+def p4_clusters(spark, d):
+    """Clusters of near-equal lines that recur too often, with their first line."""
+    kept, _ = site_lines.repeated(*_site(spark, d))
+    return kept.groupBy(F.col("source").alias("address"), "cluster").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n_lines"), F.max("cluster_docs").alias("n_docs"), F.max("n_source").alias("n_source"))
+
+
+def p4_cleaned(spark, d):
+    return site_lines.cleaned(*_site(spark, d))
+
+
 def p7_found(spark, d):
     found = near_dup.pairs(read(spark, d, "search_documents"), "url", "text", t=0.5, k=3, min_words=40)
     return found.select(F.col("a").alias("url_a"), F.col("b").alias("url_b"))
@@ -52,7 +71,7 @@ def p10_canonical(spark, d):
     return canonical.canonical(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_clusters, p4_cleaned, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
 
 _TERMS = """r AS (SELECT id, min(query) AS q FROM search_queries WHERE query IS NOT NULL AND id IS NOT NULL GROUP BY id),
 t AS (SELECT id, unnest(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')) AS term FROM r),
@@ -70,7 +89,12 @@ g AS (SELECT DISTINCT url, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT url,
 n AS (SELECT url, count(*) AS n FROM g GROUP BY url),
 o AS (SELECT a.url AS url_a, b.url AS url_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.url < b.url GROUP BY 1, 2)"""
 
+_LINES = """l AS (SELECT DISTINCT address, url, trim(regexp_replace(lower(unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r'))), '\\s+', ' ', 'g')) AS line FROM search_documents WHERE url IS NOT NULL),
+u AS (SELECT address, count(DISTINCT url) AS n FROM search_documents GROUP BY address),
+f AS (SELECT l.address, line, count(DISTINCT url) AS n_docs, any_value(n) AS n FROM l JOIN u ON l.address IS NOT DISTINCT FROM u.address WHERE line <> '' GROUP BY 1, 2)"""
+
 ORACLES = {
+    "p4_found": f"WITH {_LINES} SELECT address, line FROM f WHERE n_docs >= 5 AND n_docs >= 0.1 * n",
     "p7_found": f"WITH {_LIKE} SELECT url_a, url_b FROM o JOIN n x ON x.url = url_a JOIN n y ON y.url = url_b WHERE o >= 0.5 * (x.n + y.n - o)",
     "p3_found": f"WITH {_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT term, n_records, n_occurrences, mark FROM m",

@@ -1,0 +1,63 @@
+"""A count sketch of fixed size: counts of hashed items over all rows, never less than the truth.
+
+Each task counts into its own counters and passes on their non-zero parts; parts of one number are
+added in parallel. The result has SIZE counters of two bytes (8 MiB) whatever the number of rows,
+which is what makes it safe to broadcast. A counter of 1 proves that an item occurs once.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SIZE, PART = 1 << 22, 1 << 16
+SCHEMA = "part BIGINT, payload BINARY"
+
+
+def new() -> np.ndarray:
+    return np.zeros(SIZE, dtype=np.uint32)
+
+
+def place(h: np.ndarray) -> np.ndarray:
+    return h & np.uint64(SIZE - 1)
+
+
+def add(counts: np.ndarray, h: np.ndarray) -> None:
+    np.add.at(counts, place(h), 1)
+
+
+def parts(counts: np.ndarray):
+    """(part, bytes) of the parts that are not all zero."""
+    for part in range(SIZE // PART):
+        c = counts[part * PART : (part + 1) * PART]
+        if c.any():
+            at = np.flatnonzero(c)
+            yield part, zlib.compress(np.r_[at.astype("<u4"), c[at].astype("<u4")].tobytes(), 1)
+
+
+def batch(counts: np.ndarray) -> pa.RecordBatch:
+    rows = list(parts(counts))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "payload"])
+
+
+def _sum(batches):
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x = np.frombuffer(zlib.decompress(data), dtype="<u4").reshape(2, -1)
+            if part not in total:
+                total[part] = np.zeros(PART, dtype=np.uint32)
+            total[part][x[0]] += x[1]
+    for part, c in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes()], pa.binary())], names=["part", "payload"])
+
+
+def gather(rows: DataFrame) -> np.ndarray:
+    """The sum of all tasks' parts (part, payload)."""
+    out = np.zeros(SIZE, dtype=np.uint16)
+    for r in rows.repartition("part").mapInArrow(_sum, SCHEMA).collect():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["payload"], dtype="<u2")
+    return out
