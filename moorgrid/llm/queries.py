@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moorgrid.llm import bpe, canonical, leakage, near_dup, site_lines, term_counts
+from moorgrid.llm import bpe, canonical, leakage, near_dup, residue, site_lines, term_counts
 from moorgrid.sources.tables import read
 
 
+def p2_found(spark, d):
+    return residue.residue(read(spark, d, "search_documents"), "url", "text").select("url")
+
+
+def p2_residue(spark, d):
+    """Pages with residue, its kind and the share of the text that it covers."""
+    return residue.residue(read(spark, d, "search_documents"), "url", "text").select("url", "kind", F.round("share", 4).alias("share"))
+
+
 def _terms(spark, d):
     return term_counts.term_table(read(spark, d, "search_queries"), "id", "query")
 
@@ -71,7 +80,7 @@ def p10_canonical(spark, d):
     return canonical.canonical(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_clusters, p4_cleaned, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_residue, p3_found, p3_terms, p4_found, p4_clusters, p4_cleaned, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
 
 _TERMS = """r AS (SELECT id, min(query) AS q FROM search_queries WHERE query IS NOT NULL AND id IS NOT NULL GROUP BY id),
 t AS (SELECT id, unnest(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')) AS term FROM r),
