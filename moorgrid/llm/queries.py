@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moorgrid.llm import bpe, canonical, leakage, near_dup, residue, site_lines, term_counts
+from moorgrid.llm import bpe, canonical, language, leakage, near_dup, residue, site_lines, term_counts
 from moorgrid.sources.tables import read
 
 
@@ -48,6 +48,24 @@ def p4_cleaned(spark, d):
     return site_lines.cleaned(*_site(spark, d))
 
 
+def _languages(spark, d, per_segment=False):
+    return language.detect(read(spark, d, "search_documents"), read(spark, d, "page_labels"), "url", "text", "lang", per_segment)
+
+
+def p6_found(spark, d):
+    return language.unclaimed(_languages(spark, d), read(spark, d, "page_labels"), "url", "lang")
+
+
+def p6_pages(spark, d):
+    """The main language of every page with a confidence."""
+    return language.main_language(_languages(spark, d), "url").select("url", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p6_segments(spark, d):
+    """The language of every segment of every page with a confidence."""
+    return _languages(spark, d, True).select("url", "segment", "lang", "n_words", F.round("confidence", 4).alias("confidence"))
+
+
 def p7_found(spark, d):
     found = near_dup.pairs(read(spark, d, "search_documents"), "url", "text", t=0.5, k=3, min_words=40)
     return found.select(F.col("a").alias("url_a"), F.col("b").alias("url_b"))
@@ -80,7 +98,7 @@ def p10_canonical(spark, d):
     return canonical.canonical(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_residue, p3_found, p3_terms, p4_found, p4_clusters, p4_cleaned, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_residue, p3_found, p3_terms, p4_found, p4_clusters, p4_cleaned, p6_found, p6_pages, p6_segments, p7_found, p7_classes, p8_ids, p9_found, p9_items, p10_found, p10_canonical)}
 
 _TERMS = """r AS (SELECT id, min(query) AS q FROM search_queries WHERE query IS NOT NULL AND id IS NOT NULL GROUP BY id),
 t AS (SELECT id, unnest(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+')) AS term FROM r),
