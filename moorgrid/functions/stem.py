@@ -96,3 +96,13 @@ def stem_column(c: Column) -> Column:
         return pd.Series([stem(x) for x in words] + [None], dtype=object).take(code).reset_index(drop=True)
 
     return F.pandas_udf(run, "string")(c)
+
+
+def stem_arrays(c: Column) -> Column:
+    """Stems of the words of an array column; a batch stems each distinct word once."""
+
+    def run(s: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        return s.map(lambda a: None if a is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in a])
+
+    return F.pandas_udf(run, "array<string>")(c)

@@ -12,6 +12,9 @@ PRIOR_ALPHA, PRIOR_BETA = 1.0, 1800.0
 RATE_DOWN, RATE_UP = 2.3589191441985017e-06, 4.121957095269658e-05
 
 
+_SOLVED: dict[tuple[float, float], float] = {}
+
+
 def gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
     from math import lgamma
@@ -51,7 +54,7 @@ def unit_gamma_ppf(p: float, alpha: np.ndarray) -> np.ndarray:
     ok = np.isfinite(alpha) & (alpha > 0)
     a = np.where(ok, alpha, 1.0)
     lo, hi = np.zeros_like(a), a + 40 * np.sqrt(a) + 40
-    for _ in range(90):
+    for _ in range(64):
         mid = (lo + hi) / 2
         below = gamma_cdf(a, mid) < p
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
@@ -63,7 +66,11 @@ def unit_quantile(p: float, alpha: Column) -> Column:
 
     def run(s: pd.Series) -> pd.Series:
         values, back = np.unique(s.to_numpy(dtype=float), return_inverse=True)
-        return pd.Series(unit_gamma_ppf(p, values)[back])
+        new = np.array([v for v in values if (p, v) not in _SOLVED])
+        if len(_SOLVED) > 200_000:
+            _SOLVED.clear()
+        _SOLVED.update(zip([(p, v) for v in new], unit_gamma_ppf(p, new)))
+        return pd.Series(np.array([_SOLVED[p, v] if v == v else np.nan for v in values])[back])
 
     return F.pandas_udf(run, "double")(alpha.cast("double"))
 

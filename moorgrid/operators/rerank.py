@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moorgrid.functions.survival import dead_interval
 from moorgrid.functions.timefmt import since
 from moorgrid.operators.relational import live
+from moorgrid.session import checkpoint
 
 W_TEXT, W_RANK, W_ALIVE = 0.65, 0.25, 0.10
 DEAD_ABOVE, MAX_SAME_ADDRESS = 0.9, 2
@@ -46,7 +47,7 @@ def rerank(hits: DataFrame, nodes: DataFrame, as_of: float, cap: int = MAX_SAME_
     # only the hits' addresses need features, so the quantiles are solved for few nodes
     own = live(nodes).join(kept.select(F.col("address").alias("dst")).distinct(), "dst", "left_semi")
     rows = kept.join(node_features(own, as_of), "address", "left").fillna(0.0, ["rank", "p_dead_low", "p_dead_high", "last_seen"])
-    rows = rows.withColumn("_r", F.log1p(F.greatest("rank", F.lit(0.0))))
+    rows = checkpoint(rows.withColumn("_r", F.log1p(F.greatest("rank", F.lit(0.0)))))
     span = rows.agg(F.min("score").alias("s0"), F.max("score").alias("s1"), F.min("_r").alias("r0"), F.max("_r").alias("r1"), F.lit(1).alias("_one"))
     both = rows.join(F.broadcast(span), F.lit(1) == F.col("_one"))
     alive = 1 - (F.col("p_dead_low") + F.col("p_dead_high")) / 2

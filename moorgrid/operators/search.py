@@ -5,7 +5,7 @@ The score is BM25 per field with K1 and B, idf ln(1 + (N - df + 0.5) / (df + 0.5
 boost and the mean length over all documents, summed over fields and terms. Order: score, then url.
 
 Defined cases: rows with null url are no documents; null fields have no terms; an empty query finds
-nothing; equal rows of one url are one document (the smallest row counts).
+nothing; rows of one url are one document (the row with the smallest hash counts).
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import re
 import time as _time
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorgrid.functions import text as X
-from moorgrid.functions.stem import stem, stem_column
+from moorgrid.functions.stem import stem, stem_arrays
+from moorgrid.session import checkpoint
 
 K1, B = 1.2, 0.75
 BOOST = {"url": 1.0, "text": 1.0, "nodeName": 2.0, "owner": 1.0, "address": 1.0}
@@ -28,9 +29,14 @@ SNIPPET, FRAGMENT = 200, 100
 BOLD = ("`!`_", "`_`!")
 
 
+def _row_hash() -> Column:
+    return F.xxhash64("text", "owner", "address", "nodeName")
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """Stored fields of each url, with the raw copy of its text."""
-    one = rows.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("text", "owner", "address", "nodeName")).alias("d")).select("url", "d.*")
+    d = F.min_by(F.struct("text", "owner", "address", "nodeName"), _row_hash())
+    one = rows.where("url IS NOT NULL").groupBy("url").agg(d.alias("d")).select("url", "d.*")
     return one.withColumn("raw", F.col("text"))
 
 
@@ -49,27 +55,27 @@ def delete_by_address(docs: DataFrame, addresses: str | list[str] | DataFrame) -
     return docs.where(~F.coalesce(F.col("address").isin(names), F.lit(False))) if names else docs
 
 
-def analysed(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(url, field, term): every occurrence of a term in a field."""
+def _terms_of(stemmed: bool) -> dict[str, Column]:
+    """Every field's terms as one array column; empty for null."""
     body = F.filter(X.tokens(F.col("text")), lambda w: F.length(w) >= 2)
     if stemmed:
-        body = F.filter(body, lambda w: ~w.isin(STOP_WORDS))
+        body = stem_arrays(F.filter(body, lambda w: ~w.isin(STOP_WORDS)))
     spaced = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
     each = {"url": F.array("url"), "text": body, "nodeName": X.word_ngrams(X.tokens(F.col("nodeName"))), "owner": spaced("owner"), "address": spaced("address")}
-    by_field = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(f), F.coalesce(t, F.array().cast("array<string>"))) for f, t in each.items()])))
-    out = docs.select("url", by_field.alias("field", "terms")).select("url", "field", F.explode("terms").alias("term"))
-    if stemmed:
-        words = out.where("field = 'text'").select("term").distinct().withColumn("stem", stem_column(F.col("term")))
-        own = out.where("field = 'text'").join(words, "term").select("url", "field", F.col("stem").alias("term"))
-        out = out.where("field <> 'text'").unionByName(own)
-    return out
+    return {f: F.coalesce(t, F.array().cast("array<string>")) for f, t in each.items()}
+
+
+def analysed(docs: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(url, field, term): every occurrence of a term in a field."""
+    by_field = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(f), t) for f, t in _terms_of(stemmed).items()])))
+    return docs.select("url", by_field.alias("field", "terms")).select("url", "field", F.explode("terms").alias("term"))
 
 
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(field, term, url, tf, length)."""
-    tf = analysed(docs, stemmed).groupBy("field", "term", "url").agg(F.count(F.lit(1)).alias("tf"))
-    length = analysed(docs, stemmed).groupBy("field", "url").agg(F.count(F.lit(1)).alias("length"))
-    return tf.join(length, ["field", "url"])
+    """(field, term, url, tf, length); lengths ride along, so there is one shuffle."""
+    by_field = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(f), t) for f, t in _terms_of(stemmed).items()])))
+    rows = docs.select("url", by_field.alias("field", "terms")).select("url", "field", F.size("terms").cast("bigint").alias("length"), F.explode("terms").alias("term"))
+    return rows.groupBy("field", "term", "url").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def term_statistics(posts: DataFrame) -> DataFrame:
@@ -186,6 +192,43 @@ def bm25(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False) -
     return h.groupBy("url").agg(F.round(F.sum(part), 9).alias("score"))
 
 
+def scan_scores(rows: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
+    """(url, score) as bm25 gives it, straight from document rows where no index is stored.
+
+    One scan keeps of each document the lengths of its fields and the counts of the query's terms;
+    what is shuffled is that narrow table. Prefixes need the index."""
+    wanted: dict[tuple[str, str], int] = {}
+    q = parse(query, stemmed)
+    for clause in q["any"] + q["all"]:
+        for f, terms, kind in clause:
+            if kind == "prefix":
+                raise ValueError("a prefix is expanded from stored postings")
+            for t in terms:
+                wanted[f, t] = wanted.get((f, t), 0) + 1
+    spark, order = rows.sparkSession, sorted(wanted)
+    if not order:
+        return spark.createDataFrame([], "url STRING, score DOUBLE")
+    each = _terms_of(stemmed)
+    asked = {f: [t for g, t in order if g == f] for f in FIELDS}
+    # one pass over a field's terms counts them and keeps the wanted ones
+    kept = lambda f: F.filter(each[f], lambda w: w.isin(asked[f])) if asked[f] else F.array().cast("array<string>")
+    length = F.array(*[F.size(each[f]) for f in FIELDS])
+    narrow = rows.where("url IS NOT NULL").select("url", _row_hash().alias("h"), length.alias("length"), F.array(*[kept(f) for f in FIELDS]).alias("kept"))
+    narrow = checkpoint(narrow.groupBy("url").agg(F.min_by(F.struct("length", "kept"), "h").alias("v")).select("url", "v.*"))
+    terms = spark.createDataFrame([(FIELDS.index(f), t, float(BOOST[f] * n)) for (f, t), n in wanted.items()], "field INT, term STRING, weight DOUBLE")
+    total = narrow.agg(F.count(F.lit(1)).alias("n_docs"), F.array(*[F.sum(F.col("length")[j]) for j in range(len(FIELDS))]).alias("total"), F.lit(1).alias("_one"))
+    each_field = narrow.select("url", "length", F.posexplode("kept").alias("field", "kept"))
+    hits = each_field.select("url", "field", F.col("length")[F.col("field")].alias("length"), F.explode("kept").alias("term"))
+    hits = hits.groupBy("url", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    # terms and df: one row per query term; total: one row
+    h = hits.join(F.broadcast(terms.join(df, ["field", "term"])), ["field", "term"]).join(F.broadcast(total), F.lit(1) == F.col("_one"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / (F.col("total")[F.col("field")] / F.col("n_docs")))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return h.groupBy("url").agg(F.round(F.sum(part), 9).alias("score"))
+
+
 def _matches(clause: list, stemmed: bool) -> Column:
     """Whether a document matches a clause by its own fields (phrases, prefixes, all words)."""
     ok = F.lit(False)
@@ -199,7 +242,7 @@ def _matches(clause: list, stemmed: bool) -> Column:
         else:
             own = X.tokens(F.col(f))
             if stemmed:
-                own = F.pandas_udf(lambda s: s.map(lambda a: [stem(w) for w in a] if a is not None else None), "array<string>")(own)
+                own = stem_arrays(own)
         own = F.coalesce(own, F.array().cast("array<string>"))
         if kind == "phrase" and f not in ("nodeName", "url"):
             joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
@@ -215,8 +258,17 @@ def search(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False)
     """(url, text, owner, address, name, score, pos): all candidates in retrieval order.
 
     Conditions of AND, NOT and phrases are checked on the documents that the postings find."""
+    return _retrieve(docs.join(bm25(posts, docs, query, stemmed), "url"), query, stemmed)
+
+
+def search_rows(rows: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
+    """As search, from document rows without a stored index."""
+    scores = scan_scores(rows, query, stemmed)
+    return _retrieve(documents(rows.join(scores.select("url"), "url", "left_semi")).join(scores, "url"), query, stemmed)
+
+
+def _retrieve(found: DataFrame, query: str, stemmed: bool) -> DataFrame:
     q = parse(query, stemmed)
-    found = docs.join(bm25(posts, docs, query, stemmed), "url")
     for clause in q["all"]:
         found = found.where(_matches(clause, stemmed))
     for clause in q["none"]:
@@ -227,11 +279,10 @@ def search(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False)
         for c in strict:
             ok = ok | _matches(c, stemmed)
         found = found.where(ok)
-    from pyspark.sql import Window
-
     pos = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("url").asc()))
     name = F.coalesce(F.nullif(F.col("nodeName"), F.lit("")), F.col("url"))
-    return found.select("url", "text", "owner", "address", name.alias("name"), "score", pos.alias("pos"))
+    # later steps read the hits several times
+    return checkpoint(found.select("url", "text", "owner", "address", name.alias("name"), "score", pos.alias("pos")))
 
 
 def highlight(text: Column, query: str, stemmed: bool = False, marks: tuple[str, str] = BOLD, size: int = FRAGMENT) -> Column:

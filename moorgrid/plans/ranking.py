@@ -19,7 +19,7 @@ from moorgrid.operators.upsert import write_back
 from moorgrid.plans import sql as Q
 from moorgrid.plans.sql import AS_OF
 from moorgrid.plans.store import ADDRESS
-from moorgrid.session import checkpoint_dir
+from moorgrid.session import checkpoint, checkpoint_dir
 from moorgrid.sources.tables import read
 from moorgrid.streaming import announces as SA
 from moorgrid.streaming import index as SI
@@ -33,8 +33,7 @@ def _docs(spark, d):
 
 
 def _found(spark, d, stemmed=False, query=QUERY):
-    docs = _docs(spark, d)
-    return S.search(S.postings(docs, stemmed), docs, query, stemmed)
+    return S.search_rows(read(spark, d, "search_documents"), query, stemmed)
 
 
 def _nodes(spark, d):
@@ -66,6 +65,13 @@ def index_size(spark, d):
 
 
 def search_bm25(spark, d):
+    """Scores through the postings of the index."""
+    docs = _docs(spark, d)
+    return S.bm25(checkpoint(S.postings(docs)), docs, QUERY).select("url", F.round("score", 6).alias("score"))
+
+
+def search_scan(spark, d):
+    """Scores straight from the documents."""
     return _found(spark, d).select("url", F.round("score", 6).alias("score"))
 
 
@@ -151,7 +157,7 @@ def pagerank_dangling(spark, d):
     """Parts, suppliers and nations, the last without out-edges."""
     l = read(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     s = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"))
-    return G.pagerank(l.unionByName(s), None, max_iters=3, tol=1e-300, small_edges=0).select("v", F.round("score", 6).alias("score"))
+    return G.pagerank(l.unionByName(s), None, max_iters=3, tol=1e-300).select("v", F.round("score", 6).alias("score"))
 
 
 def pagerank_personalized(spark, d):
@@ -207,7 +213,7 @@ def stream_index_batches(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    index_postings_text, index_postings_name, index_upsert, index_delete_by_address, index_size, search_bm25, search_dedupe_url, search_cap_address, search_ranked, search_page,
+    index_postings_text, index_postings_name, index_upsert, index_delete_by_address, index_size, search_bm25, search_scan, search_dedupe_url, search_cap_address, search_ranked, search_page,
     search_stemmed, search_highlighted, search_operators, survival_params, survival_prior, survival_ci, pagerank_fixed, pagerank_dangling, pagerank_personalized, pagerank_converged, rank_writeback,
     crawl_admission, crawl_bfs, stream_announce_upsert, stream_index_batches,
 )}
@@ -242,6 +248,7 @@ SELECT url, address, coalesce(length(text), 0) AS n_chars, true AS same FROM d W
     "index_delete_by_address": f"{_I} SELECT url, address FROM d WHERE address IS DISTINCT FROM '{ADDRESS}'",
     "index_size": f"{_I} SELECT count(*) AS n FROM d",
     "search_bm25": f"{_I}, {_B} SELECT url, round(score, 6) AS score FROM re",
+    "search_scan": f"{_I}, {_B} SELECT url, round(score, 6) AS score FROM re",
     "search_dedupe_url": f"{_I}, {_B} SELECT url, pos FROM re",
     "search_cap_address": f"{_I}, {_B} SELECT url, address, pos FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY pos) AS k FROM re) WHERE k <= 2",
     "search_ranked": f"{_RANK} SELECT url, address, name, round(score, 6) AS score, round(p_dead_low, 6) AS p_dead_low, round(p_dead_high, 6) AS p_dead_high, \"time\", order_no FROM rk",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moorgrid.session import ship
+from moorgrid.session import parallelism, ship
 
 SCHEMAS = {
     "nodes": "id BIGINT, dst STRING, identity STRING, name STRING, time DOUBLE, created_at DOUBLE, updated_at DOUBLE, rank DOUBLE, removed BOOLEAN, announce_alpha DOUBLE, announce_beta DOUBLE, announce_window_seconds DOUBLE, announce_k_events INT",
@@ -20,10 +20,21 @@ SCHEMAS = {
 }
 
 
+#: Tables of long texts, whose operators spend far more on a row than a shuffle does.
+TEXTS = {"search_documents", "documents"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks can run; a table of many files stays as it is."""
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; column pruning and filters reach the Parquet scan."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
