@@ -247,6 +247,8 @@ def _matches(clause: list, stemmed: bool) -> Column:
         if kind == "phrase" and f not in ("nodeName", "url"):
             joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
             ok = ok | joined.contains(" " + " ".join(terms) + " ")
+        elif kind == "phrase":
+            ok = ok | (F.size(F.array_except(F.array(*[F.lit(t) for t in terms]), own)) == 0)
         elif kind == "prefix":
             ok = ok | F.exists(own, lambda w: w.startswith(terms[0]))
         else:
