@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from moorgrid.llm.residue import FILLER
 
-DIM, CENTROIDS, SAMPLE_PER_LANG, MIN_PAGES = 2048, 6, 250, 8
+DIM, CENTROIDS, SAMPLE_PER_LANG, MIN_PAGES = 2048, 6, 200, 8
 SHORT_LETTERS, MARGIN, WEAK, BOUND_QUANTILE, BOUND_SHARE = 14, 0.02, 0.2, 0.01, 0.7
 TEMPERATURE = 0.04
 
@@ -109,14 +109,18 @@ def fit(sample: list[tuple[str, str]]) -> dict:
     s, waste = Segments([t for x in langs for t in pages[x]]), Segments(FILLER.split("\n"))
     df = np.bincount(np.unique(s.seg * DIM + s.gram) % DIM, minlength=DIM)
     idf = np.log((1 + s.n) / (1 + df)).astype(np.float32) + 0.1
-    x, filler = s.vectors(idf, 0, s.n), waste.vectors(idf, 0, waste.n)
+    filler = waste.vectors(idf, 0, waste.n)
     long = s.letters >= SHORT_LETTERS
-    x, doc = x[long], s.doc[long]
-    if not len(x):
-        x, doc = s.vectors(idf, 0, s.n), s.doc
+    if not long.any():
+        long[:] = True
+    blocks = [s.vectors(idf, a, min(a + 2048, s.n))[long[a : a + 2048]] for a in range(0, s.n, 2048)]
+    x, doc = np.concatenate(blocks) if blocks else np.zeros((0, DIM), dtype=np.float32), s.doc[long]
+    del blocks
     # pages nearer to another claim's mean leave
     page = np.zeros((len(claim), DIM), dtype=np.float32)
-    np.add.at(page, doc, x)
+    if len(x):
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        page[doc[first]] = np.add.reduceat(x, first, axis=0)
     page, good = _unit(page), np.ones(len(claim), dtype=bool)
     for _ in range(4):
         mean = np.stack([_unit(page[good & (claim == i)].mean(axis=0)) if (good & (claim == i)).any() else np.zeros(DIM, dtype=np.float32) for i in range(len(langs))])
@@ -127,10 +131,10 @@ def fit(sample: list[tuple[str, str]]) -> dict:
     for _ in range(3):  # segments move to their likeliest language
         freq = np.zeros((len(langs), DIM), dtype=np.float32)
         for i in range(len(langs)):
-            freq[i] = x[of_seg == i].sum(axis=0) / idf
+            freq[i] = ((of_seg == i).astype(np.float32) @ x) / idf
         total = freq.sum(axis=0)
         p = (freq + 5 * total / max(float(total.sum()), 1e-9)) / (freq.sum(axis=1, keepdims=True) + 5)
-        of_seg = ((x / idf) @ np.log(p + 1e-9).T).argmax(axis=1)
+        of_seg = (x @ (np.log(p + 1e-9) / idf).T).argmax(axis=1)
     cents, bound = [], []
     for i in range(len(langs)):
         own = x[of_seg == i]

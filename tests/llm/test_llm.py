@@ -120,7 +120,7 @@ def test_leaks(spark):
     r = random.Random(5)
     items = [(i, "t", "Item, " + " ".join(f"{r.choice(WORDS)}{r.randint(0, 9)}" for _ in range(r.choice([5, 11, 12, 30, 40])))) for i in range(25)] + [(99, "t", None), (98, "t", "")]
     docs = []
-    for i in range(300):
+    for i in range(200):
         t = sentence(r, r.randint(0, 60)).split()
         if r.random() < 0.5:
             src = words(items[r.randrange(25)][2])
@@ -131,7 +131,7 @@ def test_leaks(spark):
     grams = lambda t: {tuple(words(t)[i : i + 12]) for i in range(len(words(t)) - 11)}
     want = {(d[0], i[0]) for d in docs for i in items if d[1] and i[2] and grams(d[1]) & grams(i[2])}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string, pos string"), spark.createDataFrame(items + items[:3], "item_id long, task string, text string")
-    for limit in (leakage.BLOCK_SHINGLES, 90):
+    for limit in (leakage.BLOCK_SHINGLES, 400):
         got = [(x["doc"], x["item"]) for x in leakage.leaks(dd, "doc_id", "text", ii, "item_id", "text", limit).collect()]
         assert set(got) == want and len(got) == len(want) and want
     assert leakage.leaks(dd, "doc_id", "text", ii.limit(0), "item_id", "text").count() == 0
