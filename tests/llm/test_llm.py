@@ -128,8 +128,9 @@ def test_leaks(spark):
             t[len(t) // 2 : len(t) // 2] = src[a : a + r.choice([8, 11, 12, 13, 25])]
         docs.append((i, ", ".join(t).upper() if r.random() < 0.3 else "\r\n".join(t), "x"))
     docs += [(400, None, "x"), (401, "", "x"), docs[7], (402, " ".join(["long"] * 5000) + " " + items[4][2], "x")]
-    grams = lambda t: {tuple(words(t)[i : i + 12]) for i in range(len(words(t)) - 11)}
-    want = {(d[0], i[0]) for d in docs for i in items if d[1] and i[2] and grams(d[1]) & grams(i[2])}
+    grams = lambda w: {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
+    of_doc, of_item = [(d[0], grams(words(d[1]))) for d in docs], [(i[0], grams(words(i[2]))) for i in items]
+    want = {(d, i) for d, x in of_doc for i, y in of_item if x & y}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string, pos string"), spark.createDataFrame(items + items[:3], "item_id long, task string, text string")
     for limit in (leakage.BLOCK_SHINGLES, 400):
         got = [(x["doc"], x["item"]) for x in leakage.leaks(dd, "doc_id", "text", ii, "item_id", "text", limit).collect()]
