@@ -257,6 +257,23 @@ def test_residue_cases(spark):
     assert residue.residue(df.limit(0), "url", "text").count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_residue_that_holds_a_third_of_the_rows(spark, near):
+    r = random.Random(12)
+    prose = lambda: ". ".join(f"The {r.choice(['old', 'small', 'quiet'])} {r.choice(WORDS)} {r.choice(['relay', 'router', 'bridge'])} near the {r.choice(['hill', 'bay'])} {r.choice(['stores', 'hides', 'sorts'])} the {r.choice(['evening', 'shared'])} {r.choice(WORDS)} report" for _ in range(9)) + "."
+    seeds = residue.NOTICE.split("\n")
+    pages = [" ".join([seeds[3], seeds[6], seeds[7], seeds[8]]), residue.FILLER.split("\n")[0]]
+    rows = [(f"h:/g{i}", prose()) for i in range(300)] + [(f"h:/b{i}", pages[i % 2] + (f" {r.choice(WORDS)} {i}" if near else "")) for i in range(150)]
+    got = {x["url"] for x in residue.residue(spark.createDataFrame(rows, "url string, text string"), "url", "text").collect()}
+    assert got == {f"h:/b{i}" for i in range(150)}
+
+
+def test_prose_sample_takes_texts_once_and_short_ones_too(spark):
+    rows = [(f"c{i}", "copy " * 80) for i in range(900)] + [(f"u{i}", f"short text {i}") for i in range(20)] + [("n", None), ("b", " \n")]
+    got = residue.prose_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 50)
+    assert sorted(got) == sorted({t for _, t in rows if t and t.strip()})
+
+
 def test_proposals_cover_all_judgements():
     r = random.Random(4)
     texts = [sentence(r, r.randint(0, 80)) + r.choice(["", " {{x}}", " lorem ipsum dolor sit amet tempor magna", "\n404 not found", "Your text goes here."]) + sentence(r, 5) for _ in range(300)] + [None, "", "x", "asdf asdf asdf asdf"]
