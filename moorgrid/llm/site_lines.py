@@ -9,8 +9,12 @@ All keys belong to one source. Steps:
    Bloom filter of at most MAX_WORDS words (8 MiB), whatever their number; a line none of whose
    keys passes it cannot recur often enough and is dropped where it is read.
 2. The lines left are counted exactly: distinct documents per (source, line).
-3. Within each source, lines that share a band key and whose masked words have the similarity
-   MIN_LIKE are linked to the key's first line; connected lines are a cluster.
+3. Lines of a source with the same set of masked words are one group, whatever their bands. Within
+   each source, all groups that share a band key and whose masked words have the similarity
+   MIN_LIKE are connected: a bucket is searched breadth first over an index of prefixes in order of
+   rarity, and a group that is reached leaves the index, so a bucket of n groups like each other
+   takes about n comparisons. Connected groups, and those of a line written in several ways, are a
+   cluster.
 4. Clusters in at least min_docs documents and at least min_share of the source's documents recur
    too often; so does, exactly, each of their lines that reaches both bounds by itself.
 
@@ -158,7 +162,7 @@ def _passes(filt: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _select(sent):
-    """Occurrences (lid, uid) of the lines left; each task describes a line once."""
+    """Occurrences (lid, uid) of the lines left; each task describes each masked form of a line once."""
 
     def run(batches):
         filt, seen = sent.value, set()
@@ -169,7 +173,8 @@ def _select(sent):
             lid, keys = keys_of(src, norm, masks)
             keep = np.flatnonzero(_passes(filt, keys).any(axis=1))
             if len(keep):
-                new = [int(lid[i]) not in seen and not seen.add(int(lid[i])) for i in keep]
+                form = [hash((int(lid[i]), *masks[i])) for i in keep]
+                new = [f not in seen and not seen.add(f) for f in form]
                 only = lambda x: [x[i] if n else None for i, n in zip(keep, new)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -186,6 +191,76 @@ def _select(sent):
     return run
 
 
+def connected(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first set of its component; sets of the similarity MIN_LIKE are connected."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    root = np.full(n, -1)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both >= MIN_LIKE * (size.sum() - both) - 1e-9 else 1])
+    words, word = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(word, minlength=len(words))
+    order = np.empty(len(words), dtype=np.int64)
+    order[np.argsort(often, kind="stable")] = np.arange(len(words))
+    own = [np.sort(w) for w in np.split(order[word], np.cumsum(size)[:-1])]  # rarest first
+    prefix = [w[: len(w) - int(np.ceil(MIN_LIKE * len(w) - 1e-9)) + 1] for w in own]
+    index: dict[int, list[int]] = {}
+    for i, p in enumerate(prefix):
+        for w in p.tolist():
+            index.setdefault(w, []).append(i)
+    as_sets = [set(w.tolist()) for w in own]
+    for start in range(n):
+        if root[start] >= 0:
+            continue
+        root[start], todo = start, [start]
+        while todo:
+            i = todo.pop()
+            tried = set()
+            for w in prefix[i].tolist():
+                left = []
+                for j in index[w]:
+                    if root[j] >= 0:
+                        continue
+                    if j not in tried:
+                        tried.add(j)
+                        both = len(as_sets[i] & as_sets[j]) if MIN_LIKE * size[i] <= size[j] + 1e-9 and MIN_LIKE * size[j] <= size[i] + 1e-9 else 0
+                        if both and both >= MIN_LIKE * (size[i] + size[j] - both) - 1e-9:
+                            root[j] = start
+                            todo.append(j)
+                            continue
+                    left.append(j)
+                index[w] = left
+    return root
+
+
+def _link(batches):
+    """Links (ga, gb) of the rows (band, gid, words), which come in order of their bands."""
+
+    def links(band, gid, sets):
+        out = ([], [])
+        cut = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
+        for a, b in zip(cut[:-1], cut[1:]):
+            if b - a > 1:
+                root = connected(sets[a:b])
+                at = np.flatnonzero(root != np.arange(b - a))
+                out[0].extend(gid[a:b][root[at]].tolist())
+                out[1].extend(gid[a:b][at].tolist())
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["ga", "gb"])
+
+    band, gid, sets = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), []
+    for b in batches:
+        values, at = b.column(2).flatten().to_numpy(), np.cumsum(b.column(2).value_lengths().to_numpy())[:-1]
+        band = np.r_[band, b.column(0).to_numpy()]
+        gid = np.r_[gid, b.column(1).to_numpy()]
+        sets = [*sets, *np.split(values, at)] if b.num_rows else sets
+        done = int(np.searchsorted(band, band[-1])) if len(band) else 0  # the last bucket may go on
+        if done:
+            yield links(band[:done], gid[:done], sets[:done])
+            band, gid, sets = band[done:], gid[done:], sets[done:]
+    yield links(band, gid, sets)
+
+
 def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5, min_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(lines, occurrences): lines (source, line, lid, n_docs, cluster, cluster_docs, n_source) of the clusters
     that recur too often, and where they occur (lid, uid); uid is url_id of the url."""
@@ -197,20 +272,21 @@ def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5,
     at = checkpoint(texts.mapInArrow(_select(sent), LINES))
     once = at.select("lid", "uid").distinct()
     per_line = once.groupBy("lid").agg(F.count(F.lit(1)).alias("n_docs"))
-    at = at.where("line IS NOT NULL")
-    # a line's written forms may have different masks; each brings its own bands
-    what = at.groupBy("lid").agg(F.min(F.struct("source", "line", "masked")).alias("v"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("bands"))
-    lines = checkpoint(what.join(per_line, "lid").select("lid", "v.source", "v.line", "v.masked", "bands", "n_docs"))
-    member = lines.select("lid", F.explode("bands").alias("band"))
-    first = member.groupBy("band").agg(F.min("lid").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = member.join(first, "band").where("lid <> head").select("lid", "head").distinct()
-    x, y = lines.select("lid", "masked"), lines.select(F.col("lid").alias("head"), F.col("masked").alias("of_head"))
-    both = near.join(x, "lid").join(y, "head")
-    like = F.size(F.array_intersect("masked", "of_head")) / F.size(F.array_union("masked", "of_head"))
-    links = both.where(like >= MIN_LIKE).select(F.least("lid", "head").alias("ga"), F.greatest("lid", "head").alias("gb")).distinct()
-    root = components(links)
-    named = lines.join(root, lines["lid"] == root["grp"], "left").select("lid", "source", "line", "n_docs", F.coalesce("root", "lid").alias("cluster"))
-    named = checkpoint(named)
+    # a line's written forms may have different masks; each brings its own group
+    words = F.sort_array(F.array_distinct("masked"))
+    gid = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), words)
+    at = at.where("line IS NOT NULL").select("lid", "source", "line", gid.alias("gid"), words.alias("words"), F.slice("bands", 1, BANDS).alias("bands"))
+    what = at.groupBy("lid").agg(F.min(F.struct("source", "line")).alias("v"), F.collect_set("gid").alias("gids"))
+    lines = checkpoint(what.join(per_line, "lid").select("lid", "v.source", "v.line", F.array_min("gids").alias("gid"), "gids", "n_docs"))
+    groups = checkpoint(at.groupBy("gid").agg(F.min(F.struct("words", "bands")).alias("v")).select("gid", "v.words", "v.bands"))
+    member = groups.select("gid", "words", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    near = member.join(shared, "band").select("band", "gid", "words").repartition("band").sortWithinPartitions("band").mapInArrow(_link, "ga BIGINT, gb BIGINT")
+    same = lines.where("size(gids) > 1").select(F.col("gid").alias("ga"), F.explode("gids").alias("gb")).where("ga <> gb")
+    root = components(near.unionByName(same).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct())
+    named = lines.join(root, lines["gid"] == root["grp"], "left").select("lid", "source", "line", "n_docs", F.coalesce("root", "gid").alias("part"))
+    first = named.groupBy("part").agg(F.min("lid").alias("cluster"))
+    named = checkpoint(named.join(first, "part").drop("part"))
     per_cluster = once.join(named.select("lid", "cluster"), "lid").select("cluster", "uid").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_docs"))
     often = named.join(per_cluster.where(F.col("cluster_docs") >= min_docs), "cluster")
     kept = often.join(total, often["source"].eqNullSafe(total["source"])).drop(total["source"]).where(F.col("cluster_docs") >= min_share * F.col("n_source"))

@@ -237,6 +237,72 @@ def test_site_lines(spark):
     assert site_lines.repeated(df.limit(0), "url", "address", "text")[0].count() == 0
 
 
+def line_clusters(rows, least):
+    """Clusters by comparing all lines of a source with each other."""
+    forms, on = {}, {}
+    for u, a, t in rows:
+        for line in t.splitlines():
+            n = site_lines.normal(line)
+            forms.setdefault((a, n), set()).add(tuple(site_lines.masked(line)))
+            on.setdefault((a, n), set()).add(u)
+    each = [(a, n, m) for (a, n), ms in forms.items() for m in ms]
+    bands = site_lines.keys_of([x[0] for x in each], [x[1] for x in each], [list(x[2]) for x in each])[1][:, : site_lines.BANDS]
+    root = {x[:2]: x[:2] for x in each}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, x), (j, y) in itertools.combinations(enumerate(each), 2):
+        p, q = set(x[2]), set(y[2])
+        if x[0] == y[0] and (bands[i] == bands[j]).any() and len(p & q) >= 0.8 * len(p | q) - 1e-9:
+            root[find(x[:2])] = find(y[:2])
+    out = {}
+    for x in root:
+        out.setdefault(find(x), set()).add(x)
+    return {frozenset(c) for c in out.values() if len(set().union(*(on[x] for x in c))) >= least}
+
+
+def test_clusters_of_one_hot_address(spark):
+    r = random.Random(9)
+    common = "the of and relay under bridge keeps its old map for all who pass here today".split()
+    kinds = [" ".join(r.sample(common, r.randint(4, 11))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        own = []
+        for k in r.sample(kinds, 4):
+            w = k.split()
+            w.insert(r.randint(1, len(w)), str(r.randint(0, 10**6)))
+            if r.random() < 0.3:
+                w[r.randrange(len(w))] = r.choice(common)
+            own.append(" ".join(w))
+        own.append(r.choice(["mirror kept by Anna today", "mirror kept by Bert today", "mirror kept by anna today"]))
+        rows.append((f"u{i}", r.choice(["A", "A", "A", None]), "\n".join(own)))
+    df = spark.createDataFrame(rows, "url string, address string, text string")
+    got = {}
+    for parts in (1, 6):
+        kept, _ = site_lines.repeated(df.repartition(parts), "url", "address", "text", 5, 0.0)
+        clusters = {}
+        for x in kept.collect():
+            clusters.setdefault(x["cluster"], set()).add((x["source"], x["line"]))
+        got[parts] = {frozenset(c) for c in clusters.values()}
+    assert got[1] == got[6] == line_clusters(rows, 5) and len(got[1]) > 20
+
+
+def test_connected_sets():
+    r = random.Random(10)
+    for n, size in ((2, 5), (40, 9), (300, 12)):
+        sets = [np.array(sorted(r.sample(range(size + 6), r.randint(2, size)))) for _ in range(n)] + [np.arange(3)] * 2
+        like = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
+        want = list(range(len(sets)))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if like(sets[i].tolist(), sets[j].tolist()) and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+        assert site_lines.connected(sets).tolist() == want
+
+
 # residue
 
 
