@@ -8,8 +8,8 @@ The few keys that hold a large share of the references are joined by broadcast (
 of them can exist), the others by a shuffle, so one hot key never makes one hot task.
 
 Defined cases: null and blank references are none; keys are compared in lower case without
-surrounding white space and angle brackets; a repeated reference id counts once; without parents
-every reference is missing; an unknown time of either side is never 'late'.
+surrounding white space and angle brackets; a repeated reference id counts once; references of rows
+with a null id count once per distinct field, key and time; without parents every reference is missing; an unknown time of either side is never 'late'.
 """
 
 from __future__ import annotations
@@ -86,9 +86,11 @@ def join_unique(refs: DataFrame, parents: DataFrame, key: str, share: float = 0.
 
 def references(citations: DataFrame, fields: tuple[str, ...] = ("target_address", "src_address")) -> DataFrame:
     """(id, field, key, at): one row per reference that is neither null nor blank."""
-    one = citations.groupBy("id").agg(F.min(F.struct(*fields, "created_at")).alias("r"))
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), normal_address(F.col(f"r.{f}")).alias("key")) for f in fields]))
-    return one.select("id", F.col("r.created_at").alias("at"), each.alias("x")).select("id", "x.field", "x.key", "at").where("key IS NOT NULL")
+    refs = lambda rows: rows.select("id", F.col("r.created_at").alias("at"), each.alias("x")).select("id", "x.field", "x.key", "at").where("key IS NOT NULL")
+    r = F.struct(*fields, "created_at").alias("r")
+    known = refs(citations.where("id IS NOT NULL").groupBy("id").agg(F.min(r).alias("r")))
+    return known.unionByName(refs(citations.where("id IS NULL").select("id", r)).distinct())
 
 
 def orphans(citations: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -43,6 +43,25 @@ def test_empty_sides(spark):
     assert O.orphans(spark.createDataFrame([], CITE), none).count() == 0
 
 
+def test_rows_with_a_null_id_stay_apart(spark):
+    import duckdb
+
+    from moorgrid.plans import problems as P
+
+    nodes = [(1, "a", 5.0, 1.0, True, "k", "x"), (2, "b", 5.0, 1.0, False, "k", "x")]
+    cites = [(None, "a", "gone", 1.0, False, "k", "f"), (None, " <A>", "b", 1.0, False, "k", "f"), (None, "gone", None, 2.0, False, "k", "f"), (None, "gone", None, 2.0, False, "k", "f"), (None, None, "zz", None, False, "k", "f"), (7, "a", "b", 1.0, False, "k", "f"), (7, "a", "b", 1.0, False, "k", "f")]
+    got = O.orphans(spark.createDataFrame(cites, CITE), spark.createDataFrame(nodes, NODE))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nodes (id BIGINT, dst VARCHAR, created_at DOUBLE, updated_at DOUBLE, removed BOOLEAN, key VARCHAR, kind VARCHAR)")
+    con.execute("CREATE TABLE citations (id BIGINT, target_address VARCHAR, src_address VARCHAR, created_at DOUBLE, removed BOOLEAN, key VARCHAR, field VARCHAR)")
+    con.executemany("INSERT INTO nodes VALUES (?, ?, ?, ?, ?, ?, ?)", nodes)
+    con.executemany("INSERT INTO citations VALUES (?, ?, ?, ?, ?, ?, ?)", cites)
+    want = con.execute(P.ORACLES["p5_found"]).fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(got.select("id", "field", "kind").collect()) == order(want) and len(want) == 7
+    assert order(O.by_period(got).select("field", "kind", "period_start", "n_refs", "n_keys").collect()) == order(con.execute(P.ORACLES["p5_by_period"]).fetchall())
+
+
 def test_filter_never_drops_a_parent(spark):
     keys = spark.range(3000).selectExpr("cast(id as string) AS k")
     f = O.bloom(keys, "k", 1)
