@@ -2,10 +2,12 @@
 
 A segment (a sentence or a line) is a TF-IDF vector of hashed letter trigrams, normalised to length
 one. Each language has several centroids, fitted on a bounded sample: the SAMPLE_PER_LANG pages with
-the smallest key hashes of every claimed language. Claims may be wrong and pages mixed, so pages
+the smallest key hashes of every claimed language, copies of a text once. Claims may be wrong and pages mixed, so pages
 that lie nearer to another language's mean leave the sample, the segments of the others move to the
 language whose trigram frequencies make them likeliest, and each language's segments are then
-clustered (spherical k-means).
+clustered (spherical k-means). A language of fewer than FEW_PAGES pages has no mean to trust: its
+pages leave when they lie as near to a larger language's mean, to a mix of two or to filler as
+pages of those do; what is left makes it a language like the others.
 Filler text has centroids of its own. A segment takes the language of the centroid with the
 largest cosine; it is rejected when that is filler, or when the cosine is below the distance bound
 of the language. Segments too short to tell take the language of their neighbour in the page.
@@ -17,6 +19,8 @@ out; a page of one endless line is one segment, scanned whole.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 
 from moorgrid.llm.residue import FILLER
 
-DIM, CENTROIDS, SAMPLE_PER_LANG, MIN_PAGES = 2048, 6, 200, 8
+DIM, CENTROIDS, SAMPLE_PER_LANG, FEW_PAGES = 2048, 6, 200, 8
 SHORT_LETTERS, MARGIN, WEAK, BOUND_QUANTILE, BOUND_SHARE = 14, 0.02, 0.2, 0.01, 0.7
 TEMPERATURE = 0.04
+FEW_SHARE, WASTE, FEW_SEGMENTS = 0.85, 0.35, 48
 
 _TABLE = np.zeros(0x110000, dtype=np.uint8)  # 1 letter, 2 digit, 0 other
 for _o in range(0x110000):
@@ -102,9 +107,12 @@ def fit(sample: list[tuple[str, str]]) -> dict:
     pages: dict[str, list[str]] = {}
     for lang, text in sample:
         pages.setdefault(lang, []).append(text)
-    langs = sorted(x for x, t in pages.items() if len(t) >= MIN_PAGES) or sorted(pages)
+    langs = sorted(pages)
     if not langs:
         return {"langs": [], "idf": np.ones(DIM, dtype=np.float32), "centroids": np.zeros((0, DIM), dtype=np.float32), "of": np.zeros(0, dtype=int), "bound": np.zeros(0)}
+    large = np.array([len(pages[x]) >= FEW_PAGES for x in langs])
+    if not large.any():
+        large[:] = True
     claim = np.array([i for i, x in enumerate(langs) for _ in pages[x]])
     s, waste = Segments([t for x in langs for t in pages[x]]), Segments(FILLER.split("\n"))
     df = np.bincount(np.unique(s.seg * DIM + s.gram) % DIM, minlength=DIM)
@@ -121,11 +129,29 @@ def fit(sample: list[tuple[str, str]]) -> dict:
     if len(x):
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         page[doc[first]] = np.add.reduceat(x, first, axis=0)
-    page, good = _unit(page), np.ones(len(claim), dtype=bool)
+    page, waste_mean = _unit(page), _unit(filler.mean(axis=0))
+    means = lambda ok: np.stack([_unit(page[ok & (claim == i)].mean(axis=0)) if (ok & (claim == i)).any() else np.zeros(DIM, dtype=np.float32) for i in range(len(langs))])
+    good = large[claim]
     for _ in range(4):
-        mean = np.stack([_unit(page[good & (claim == i)].mean(axis=0)) if (good & (claim == i)).any() else np.zeros(DIM, dtype=np.float32) for i in range(len(langs))])
-        good = (page @ mean.T).argmax(axis=1) == claim
-    waste_mean = _unit(filler.mean(axis=0))
+        mean = means(good)
+        good = large[claim] & ((page @ mean.T).argmax(axis=1) == claim)
+    if not large.all():
+        near = page @ mean.T
+        floor = min(np.median(near[good & (claim == i), i]) for i in np.unique(claim[good])) * FEW_SHARE if good.any() else 2.0
+        for z in sorted(np.flatnonzero(~large), key=lambda z: -len(pages[langs[z]])):
+            few = np.flatnonzero((claim == z) & page.any(axis=1))
+            mean = means(good)
+            near = page[few] @ mean.T
+            # how much of the page lies in the span of two other languages' means
+            like = near.max(axis=1, initial=0)
+            for i, j in combinations(np.flatnonzero(mean.any(axis=1)), 2):
+                c, u, v = min(float(mean[i] @ mean[j]), 0.99), near[:, i], near[:, j]
+                like = np.maximum(like, np.sqrt(np.maximum(u * u + v * v - 2 * c * u * v, 0) / (1 - c * c)))
+            good[few] = (like < floor) & (page[few] @ waste_mean < WASTE)
+        mean = means(good)
+    has = np.bincount(claim[good], minlength=len(langs)) > 0
+    if has.any():  # the languages that are left
+        langs, mean, claim = [x for x, h in zip(langs, has) if h], mean[has], (np.cumsum(has) - 1)[claim]
     keep = good[doc] & ((x @ mean.T).max(axis=1) > x @ waste_mean)
     x, of_seg = x[keep], claim[doc[keep]]
     for _ in range(3):  # segments move to their likeliest language
@@ -135,16 +161,21 @@ def fit(sample: list[tuple[str, str]]) -> dict:
         total = freq.sum(axis=0)
         p = (freq + 5 * total / max(float(total.sum()), 1e-9)) / (freq.sum(axis=1, keepdims=True) + 5)
         of_seg = (x @ (np.log(p + 1e-9) / idf).T).argmax(axis=1)
-    cents, bound = [], []
+    cents, bound, few = [], [], []
     for i in range(len(langs)):
         own = x[of_seg == i]
         if not len(own):
             cents.append(mean[i : i + 1])
             bound.append(0.0)
             continue
-        c = _kmeans(own, np.stack([own[int(k * len(own) / CENTROIDS)] for k in range(min(CENTROIDS, len(own)))]))
+        n = min(CENTROIDS, max(1, len(own) * CENTROIDS // FEW_SEGMENTS))
+        c = _kmeans(own, np.stack([own[int(k * len(own) / n)] for k in range(n)]))
         cents.append(c)
+        if len(own) < FEW_SEGMENTS:
+            few.append(i)
         bound.append(float(np.quantile((own @ c.T).max(axis=1), BOUND_QUANTILE)) * BOUND_SHARE)
+    for i in few:  # segments that made the centroids say little about the distance of others
+        bound[i] = min([bound[i], *(b for j, b in enumerate(bound) if b and j not in few)])
     cents.append(np.stack([waste_mean, *filler[: CENTROIDS - 1]]))
     bound.append(0.0)
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(cents).astype(np.float32), "of": np.repeat(np.arange(len(cents)), [len(y) for y in cents]), "bound": np.array(bound)}
@@ -189,12 +220,15 @@ def code(c: Column) -> Column:
 def claimed_sample(pages: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_PER_LANG) -> list[tuple[str, str]]:
     """Up to rows pages of each claimed language, by the smallest hashes of their keys.
 
-    The keys are chosen from the labels first, so only chosen texts are moved."""
+    Copies of a text count once for a language. Keys and texts are chosen by their hashes, so only
+    chosen texts are moved."""
     claims = labels.select(F.col(key).alias("k"), code(F.col(label)).alias("lang")).where("k IS NOT NULL AND lang IS NOT NULL").distinct()
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = claims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).drop("r")
-    # at most rows keys for each language
-    got = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k").select("lang", "t").distinct().collect()
+    texts = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").withColumns({"kh": F.xxhash64("k"), "th": F.xxhash64("t")})
+    once = claims.join(texts.select("k", "kh", "th"), "k").groupBy("lang", "th").agg(F.min("kh").alias("kh"))
+    w = Window.partitionBy("lang").orderBy("kh", "th")
+    chosen = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).drop("r")
+    # at most rows texts for each language
+    got = texts.join(F.broadcast(chosen), ["kh", "th"]).select("lang", "t").distinct().collect()
     return sorted((r["lang"], r["t"]) for r in got)
 
 

@@ -385,6 +385,25 @@ def test_language(spark):
     assert language.detect(p, l.limit(0), "url", "text", "lang").count() == 0
 
 
+def test_languages_of_few_pages_and_of_copies(spark):
+    r = random.Random(16)
+    vocab = {x: ["".join(r.choice(a) for _ in range(r.randint(3, 8))) for _ in range(80)] for x, a in (("en", "abcdefgh"), ("de", "hijklmno"), ("sv", "opqrstuv"), ("fi", "vwxyzæøå"))}
+    make = lambda x, n: ". ".join(" ".join(r.choice(vocab[x]) for _ in range(9)) for _ in range(n)) + "."
+    pages = [(f"{x}{i}", make(x, 8)) for x in ("en", "de") for i in range(40)] + [(f"sv{i}", make("sv", 8)) for i in range(3)] + [(f"fi{i}", make("fi", 8)) for i in range(30)]
+    labels = [(u, u[:2]) for u, _ in pages] + [("en5", "nl"), ("en6", "nl"), ("mix", "no")]
+    copy = make("fi", 8)
+    pages += [(f"ficopy{i}", copy) for i in range(900)] + [("mix", make("en", 5) + " " + make("de", 5))]
+    labels += [(f"ficopy{i}", "fi") for i in range(900)]
+    pages += [(f"new_{x}{i}", make(x, 8)) for x in vocab for i in range(20)]
+    p, l = spark.createDataFrame(pages, "url string, text string"), spark.createDataFrame(labels, "url string, lang string")
+    sample = language.claimed_sample(p, l, "url", "text", "lang")
+    assert sum(x == "fi" for x, _ in sample) == 31
+    assert language.fit(sample)["langs"] == ["de", "en", "fi", "sv"]
+    got = {(x["url"], x["lang"]) for x in language.detect(p, l, "url", "text", "lang").where("n_words >= 30").collect()}
+    assert {(u, x) for u, x in got if u.startswith("new_")} == {(f"new_{x}{i}", x) for x in vocab for i in range(20)}
+    assert {x for u, x in got if u.startswith("ficopy")} == {"fi"} and {x for u, x in got if u == "mix"} == {"en", "de"}
+
+
 def test_segments_of_words():
     s = language.Segments(["One two. Three\nfour five!", None, "", "Six"])
     assert s.words.tolist() == [2, 1, 2, 1] and s.doc.tolist() == [0, 0, 0, 3]
