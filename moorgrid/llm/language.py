@@ -1,6 +1,6 @@
 """Language of each page and of each of its segments by nearest centroids of character n-grams.
 
-A segment (a sentence or a line) is a TF-IDF vector of hashed letter trigrams, normalised to length
+A segment (a sentence or a line; of more than LONG_WORDS words, each piece of WINDOW_WORDS) is a TF-IDF vector of hashed letter trigrams, normalised to length
 one. Each language has several centroids, fitted on a bounded sample: the SAMPLE_PER_LANG pages with
 the smallest key hashes of every claimed language, copies of a text once. Claims may be wrong and pages mixed, so pages
 that lie nearer to another language's mean leave the sample, the segments of the others move to the
@@ -14,7 +14,7 @@ of the language. Segments too short to tell take the language of their neighbour
 
 Defined cases: null and empty texts have no segments; a page without a decided segment has no
 language; segments without a letter are undecided; a repeated key is one page; null keys are left
-out; a page of one endless line is one segment, scanned whole.
+out; a page of one endless line is scanned whole, in pieces.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ for _o in range(0x110000):
         _TABLE[_o] = 1 if _c.isalpha() else 2
 _BREAKS = np.array([10, 11, 12, 13, 0x85, 0x2028, 0x2029], dtype=np.uint32)
 _STOPS = np.array([ord(c) for c in ".!?…。"], dtype=np.uint32)
+_CLOSED_STOPS = np.array([ord(c) for c in "。！？｡"], dtype=np.uint32)  # no blank follows these
+LONG_WORDS, WINDOW_WORDS = 30, 15
 _BLANKS = np.array([9, 32, 0xA0], dtype=np.uint32)
 
 
@@ -53,6 +55,13 @@ class Segments:
         kind = _TABLE[codes]
         end = np.isin(codes, _BREAKS)
         end[1:] |= np.isin(codes[1:], _BLANKS) & np.isin(codes[:-1], _STOPS)
+        end[1:] |= np.isin(codes[:-1], _CLOSED_STOPS)
+        word = (kind > 0) & ~np.r_[False, kind[:-1] > 0]
+        at = np.flatnonzero(word)
+        of = np.cumsum(end)[at]
+        nth = np.arange(len(at)) - np.searchsorted(of, of)
+        long = np.bincount(of)[of] > LONG_WORDS if len(of) else np.zeros(0, dtype=bool)
+        end[at[long & (nth > 0) & (nth % WINDOW_WORDS == 0)]] = True
         seg = np.cumsum(end)
         letter = kind == 1
         c = np.where(letter, codes, 32).astype(np.uint32)
@@ -62,7 +71,6 @@ class Segments:
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         gram = (h & np.uint32(DIM - 1)).astype(np.int64)
-        word = (kind > 0) & ~np.r_[False, kind[:-1] > 0]
         n = int(seg[-1]) + 1
         self.words = np.bincount(seg[word], minlength=n)
         self.letters = np.bincount(seg[mid], minlength=n)

@@ -404,6 +404,22 @@ def test_languages_of_few_pages_and_of_copies(spark):
     assert {x for u, x in got if u.startswith("ficopy")} == {"fi"} and {x for u, x in got if u == "mix"} == {"en", "de"}
 
 
+def test_a_second_language_without_stops_is_found():
+    r = random.Random(17)
+    vocab = {x: ["".join(r.choice(a) for _ in range(r.randint(3, 8))) for _ in range(80)] for x, a in (("en", "abcdefgh"), ("de", "hijklmno"), ("ja", "日本語文字海山川空"))}
+    make = lambda x, n, by=", ": by.join(r.choice(vocab[x]) for _ in range(n))
+    model = language.fit([(x, make(x, 60)) for x in vocab for _ in range(20)])
+    for text, want in ((make("en", 60) + "; " + make("de", 45), {"en", "de"}), (make("de", 40, "、") + "。" + make("en", 40, " - "), {"de", "en"}), (make("ja", 50, "、") + "。" + make("de", 50, "; "), {"ja", "de"})):
+        s = language.Segments([text])
+        lang, _ = language.classify(s, model)
+        words = {x: int(s.words[lang == i].sum()) for i, x in enumerate(model["langs"])}
+        assert {x for x, n in words.items() if n >= 30} == want and s.words.sum() == len(words_of(text))
+
+
+def words_of(text):
+    return re.findall(r"[^\W_]+", text)
+
+
 def test_segments_of_words():
     s = language.Segments(["One two. Three\nfour five!", None, "", "Six"])
     assert s.words.tolist() == [2, 1, 2, 1] and s.doc.tolist() == [0, 0, 0, 3]
