@@ -334,6 +334,15 @@ def test_residue_that_holds_a_third_of_the_rows(spark, near):
     assert got == {f"h:/b{i}" for i in range(150)}
 
 
+def test_residue_in_the_words_of_a_url():
+    r = random.Random(13)
+    model = residue.fit([sentence(r, 60) for _ in range(50)])
+    for u in ("ab12:/page/your-text-goes-here.mu", "ab12:/page/lorem-ipsum.mu", "ab12:/page/lorem%20ipsum%20dolor.mu", "ab12:/insert_your_text_here", "ab12:/page/{{slug}}.mu"):
+        assert residue.url_residue(u, model), u
+    for u in (None, "", "faa3bb919cc4e6afee51aaa88c2f5052:/page/history_9046.mu", "ab12:/page/radio/12.mu", "ab12:/page/index.mu", "ab12:/page/test.mu", "ab12:/text/course-guide.mu"):
+        assert not residue.url_residue(u, model), u
+
+
 def test_prose_sample_takes_texts_once_and_short_ones_too(spark):
     rows = [(f"c{i}", "copy " * 80) for i in range(900)] + [(f"u{i}", f"short text {i}") for i in range(20)] + [("n", None), ("b", " \n")]
     got = residue.prose_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 50)
