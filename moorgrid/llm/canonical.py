@@ -2,7 +2,8 @@
 
 Each Arrow partition is rewritten by one SQL expression: invisible characters are deleted, blanks
 become the plain space and line breaks the line feed, width and joined forms become their plain
-letters, look-alike letters of Greek and Cyrillic become the Latin ones, accents are composed.
+letters, look-alike letters of Greek, Cyrillic, Armenian, Cherokee and the small capitals become the
+Latin ones (Greek letters without a Latin twin the Cyrillic ones), accents are composed.
 
 Defined cases: null stays null; empty stays empty; visible letters, digits and accents without a
 plain counterpart stay as they are (superscripts, circled digits and letters of a different shape
@@ -27,6 +28,12 @@ CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀаеѕіјорсухһԁԛԝ
 CYR_LATIN = "ABESIJKMHOPCTYXYGQWIaesijopcyxhdqwlyv"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϳορϲν"
 GRE_LATIN = "ABEZHIKMNOPTYXFCjopcv"
+# Greek letters of a Cyrillic shape that Latin has not, and single letters of other scripts
+# (Armenian, Cherokee, Latin small capitals that look like the small letter) below which is the Latin one.
+GREEK_ONLY = "ΓΠΦ"
+GRE_CYRILLIC = "ГПФ"
+OTHERS = "ՕօոսհցԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴᴄᴏᴠᴡᴢꜱ"
+OTH_LATIN = "OonuhgLDRTAJEWMHGZVSLCPKBcovwzs"
 WIDTH_TAGS = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
 JOINED = [*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)]
 
@@ -48,8 +55,8 @@ def expand(code: str) -> str:
 
 
 def shape_map() -> dict[str, str]:
-    """Latin letters of the same shape, with the accents that a composed letter carries."""
-    base = dict(zip(CYRILLIC + GREEK, CYR_LATIN + GRE_LATIN))
+    """Latin or else Cyrillic letters of the same shape, with the accents that a composed letter carries."""
+    base = dict(zip(CYRILLIC + GREEK + GREEK_ONLY + OTHERS, CYR_LATIN + GRE_LATIN + GRE_CYRILLIC + OTH_LATIN))
     out = dict(base)
     for o in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
         d = unicodedata.normalize("NFD", chr(o))

@@ -108,6 +108,13 @@ def test_alike_pairs(spark):
     assert got == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4)}
 
 
+def test_letters_without_a_latin_twin_and_of_other_scripts(spark):
+    rows = [(1, "ΓΠΦ"), (2, "ГПФ"), (3, "code"), (4, "cօde"), (5, "ᴄᴏde"), (6, "HAT"), (7, "ᎻᎪᎢ"), (8, "ΛΔΣ"), (9, "ЛДЗ"), (10, "гпф")]
+    got = {(r["a"], r["b"]) for r in canonical.alike_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert got == {(1, 2), (3, 4), (3, 5), (4, 5), (6, 7)}
+    assert len(canonical.OTHERS) == len(canonical.OTH_LATIN) and len(canonical.GREEK_ONLY) == len(canonical.GRE_CYRILLIC)
+
+
 def test_maps_are_of_one_shape():
     assert all(unicodedata.normalize("NFC", b) == b for b in canonical.shape_map().values())
     assert len(canonical.CYRILLIC) == len(canonical.CYR_LATIN) and len(canonical.GREEK) == len(canonical.GRE_LATIN)
