@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorgrid.llm.residue import FILLER
+from moorgrid.llm.residue_examples import filler as filler_lines
 
 DIM, CENTROIDS, SAMPLE_PER_LANG, FEW_PAGES = 2048, 6, 200, 8
 SHORT_LETTERS, MARGIN, WEAK, BOUND_QUANTILE, BOUND_SHARE = 14, 0.02, 0.2, 0.01, 0.7
@@ -122,7 +122,7 @@ def fit(sample: list[tuple[str, str]]) -> dict:
     if not large.any():
         large[:] = True
     claim = np.array([i for i, x in enumerate(langs) for _ in pages[x]])
-    s, waste = Segments([t for x in langs for t in pages[x]]), Segments(FILLER.split("\n"))
+    s, waste = Segments([t for x in langs for t in pages[x]]), Segments(filler_lines())
     df = np.bincount(np.unique(s.seg * DIM + s.gram) % DIM, minlength=DIM)
     idf = np.log((1 + s.n) / (1 + df)).astype(np.float32) + 0.1
     filler = waste.vectors(idf, 0, waste.n)

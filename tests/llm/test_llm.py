@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from moorgrid.llm import bpe, canonical, language, leakage, near_dup, residue, site_lines, term_counts
+from moorgrid.llm import bpe, canonical, language, leakage, near_dup, residue, residue_examples, site_lines, term_counts
 from moorgrid.llm.words import shingles, word_hashes, words
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -334,8 +334,8 @@ def test_residue_cases(spark):
 def test_residue_that_holds_a_third_of_the_rows(spark, near):
     r = random.Random(12)
     prose = lambda: ". ".join(f"The {r.choice(['old', 'small', 'quiet'])} {r.choice(WORDS)} {r.choice(['relay', 'router', 'bridge'])} near the {r.choice(['hill', 'bay'])} {r.choice(['stores', 'hides', 'sorts'])} the {r.choice(['evening', 'shared'])} {r.choice(WORDS)} report" for _ in range(9)) + "."
-    seeds = residue.NOTICE.split("\n")
-    pages = [" ".join([seeds[3], seeds[6], seeds[7], seeds[8]]), residue.FILLER.split("\n")[0]]
+    seeds = residue_examples.lines(residue_examples.NOTICES)
+    pages = [". ".join(seeds[i] for i in (3, 90, 400, 900, 60)), residue_examples.CLASSIC]
     rows = [(f"h:/g{i}", prose()) for i in range(300)] + [(f"h:/b{i}", pages[i % 2] + (f" {r.choice(WORDS)} {i}" if near else "")) for i in range(150)]
     got = {x["url"] for x in residue.residue(spark.createDataFrame(rows, "url string, text string"), "url", "text").collect()}
     assert got == {f"h:/b{i}" for i in range(150)}
@@ -352,7 +352,8 @@ def test_residue_in_the_words_of_a_url():
 
 def test_prose_sample_takes_texts_once_and_short_ones_too(spark):
     rows = [(f"c{i}", "copy " * 80) for i in range(900)] + [(f"u{i}", f"short text {i}") for i in range(20)] + [("n", None), ("b", " \n")]
-    got = residue.prose_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 50)
+    got, keys = residue.prose_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 50)
+    assert keys[got.index("copy " * 80)] == "c0" and len(residue.prose_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 50, 100)[0]) == 20
     assert sorted(got) == sorted({t for _, t in rows if t and t.strip()})
 
 
