@@ -2,125 +2,103 @@
 
 A prefix-filtered set join. A passage of WINDOW consecutive words of an item is a set of
 WINDOW - SHINGLE + 1 shingles, all of which a leaking document must contain; for full containment
-the necessary prefix under the order by rarity is one shingle, the rarest of the window. Documents
-are scanned once for item shingles; their document frequencies over the whole corpus give the
-order; the rarest shingle of every window is joined with the hits; positional and length bounds
-place the item's window in the document, and the words of both are compared there.
-
-The items are a stated query set. Their shingles are sent to the tasks in blocks of at most
-BLOCK_SHINGLES (16 MiB), so any number of items works; a block costs one scan.
-
-Defined cases: null or empty texts and items with fewer words than the window match nothing; a
-repeated row gives its pair once; texts of any length are scanned whole.
+the necessary prefix under the order by rarity is one shingle, the rarest of the window. Steps:
+
+1. The items' shingles make a Bloom filter of a bounded size (MAX_WORDS, 8 MiB), whatever their number.
+2. One scan of the corpus keeps of each document the passages that could hold a window: the words under
+   WINDOW - SHINGLE + 1 or more consecutive shingles that pass the filter. No other text leaves the scan,
+   and equal passages of any number of documents are one row from there on.
+3. Frequencies of the shingles over all documents give the order by rarity. The rarest shingle of every
+   item window is joined with the passages' shingles; positional and length bounds place the window in
+   the passage, and the words of both are compared there. Passages lead back to their documents.
+
+Defined cases: null or empty texts and items with fewer words than the window match nothing; rows with
+a null key are left out; several texts under one item key are all searched for; a repeated row gives its
+pair once; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorgrid.llm.bits import filter_of, passes
 from moorgrid.llm.words import shingles, word_hashes, words
 from moorgrid.session import checkpoint
 
-WINDOW, SHINGLE, BLOCK_SHINGLES = 12, 5, 1_000_000
+WINDOW, SHINGLE = 12, 5
+SPAN = WINDOW - SHINGLE + 1
+TEXT = "tid BIGINT, words ARRAY<STRING>, hashes ARRAY<BIGINT>"
 
 
-def _blocks(items: DataFrame, key: str, text: str, limit: int):
-    """Lists of (item, words) whose shingles stay under the limit."""
-    block, n = [], 0
-    for r in items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").distinct().toLocalIterator():
-        ws = words(r["t"])
-        if len(ws) < WINDOW:
-            continue
-        if block and n + len(ws) > limit:
-            yield block
-            block, n = [], 0
-        block.append((r["k"], ws))
-        n += len(ws)
-    if block:
-        yield block
+def _item_rows(batches):
+    """(item, text id, words, shingles) of the item texts that have a window."""
+    for b in batches:
+        keys, ids, ws, hs = [], [], [], []
+        for k, tid, t in zip(*(c.to_pylist() for c in b.columns)):
+            w = words(t)
+            if len(w) >= WINDOW:
+                keys.append(k)
+                ids.append(tid)
+                ws.append(w)
+                hs.append(shingles(word_hashes(w), SHINGLE).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(ws, pa.list_(pa.string())), pa.array(hs, pa.list_(pa.int64()))], names=["item", "tid", "words", "hashes"])
 
 
-def _scan(keys: np.ndarray):
-    """Hits of item shingles: document, number of its words, and per hit the position and the shingle."""
+def _passages(sent):
+    """(doc, words): the passages whose shingles all pass the filter, where a window fits in."""
 
     def run(batches):
+        filt = sent.value
         for b in batches:
-            doc, at, which, total = [], [], [], []
+            doc, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words(t)
                 if len(ws) < WINDOW:
                     continue
-                h = shingles(word_hashes(ws), SHINGLE)
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.flatnonzero(keys[i] == h)
-                if len(hit):
-                    doc.append(np.full(len(hit), k, dtype=np.int64))
-                    at.append(hit)
-                    which.append(i[hit])
-                    total.append(np.full(len(hit), len(ws), dtype=np.int32))
-            if doc:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(doc)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(total))],
-                    names=["doc", "pos", "shingle", "n_words"],
-                )
+                ok = passes(filt, shingles(word_hashes(ws), SHINGLE))
+                if not ok.any():
+                    continue
+                edge = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(np.int8)))
+                for a, z in zip(edge[::2], edge[1::2]):
+                    if z - a >= SPAN:
+                        doc.append(k)
+                        out.append(ws[a : z + SHINGLE - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["doc", "words"])
 
     return run
 
 
-def _verify(own: dict):
-    def run(batches):
-        for b in batches:
-            docs, items = [], []
-            for k, t, cand in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ws, found = words(t), set()
-                for c in cand:
-                    if c["item"] not in found and ws[c["d"] : c["d"] + WINDOW] == own[c["item"]][c["w"] : c["w"] + WINDOW]:
-                        found.add(c["item"])
-                docs += [k] * len(found)
-                items += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc", "item"])
-
-    return run
+def _with_shingles(batches):
+    for b in batches:
+        hs = [shingles(word_hashes(w), SHINGLE).view(np.int64) for w in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hs, pa.list_(pa.int64()))], names=["pid", "n_docs", "hashes"])
 
 
-def _block_leaks(docs: DataFrame, block: list) -> DataFrame:
-    spark = docs.sparkSession
-    hashed = [shingles(word_hashes(ws), SHINGLE) for _, ws in block]
-    keys = np.unique(np.concatenate(hashed))
-    hits = checkpoint(docs.mapInArrow(_scan(keys), "doc BIGINT, pos INT, shingle INT, n_words INT"))
-    counts = hits.groupBy("shingle").agg(F.countDistinct("doc").alias("n")).collect()  # at most one row per item shingle
-    df = np.zeros(len(keys), dtype=np.int64)
-    for r in counts:
-        df[r["shingle"]] = r["n"]
-    rows, span = [], WINDOW - SHINGLE + 1
-    for (item, _), h in zip(block, hashed):
-        ids = np.searchsorted(keys, h)
-        for w in range(len(h) - span + 1):
-            if (df[ids[w : w + span]] > 0).all():
-                off = int(np.argmin(df[ids[w : w + span]]))
-                rows.append((int(ids[w + off]), int(item), w, off))
-    if not rows:
-        return spark.createDataFrame([], "doc BIGINT, item BIGINT")
-    cols = list(zip(*rows))
-    prefix = spark.createDataFrame(pa.table({"shingle": pa.array(cols[0], pa.int32()), "item": pa.array(cols[1], pa.int64()), "w": pa.array(cols[2], pa.int32()), "off": pa.array(cols[3], pa.int32())}))
-    # one row per window of the block: bounded by BLOCK_SHINGLES
-    placed = hits.join(F.broadcast(prefix), "shingle").select("doc", "item", "w", (F.col("pos") - F.col("off")).alias("d"), "n_words")
-    placed = placed.where(f"d >= 0 AND d + {WINDOW} <= n_words")
-    per_doc = placed.groupBy("doc").agg(F.collect_set(F.struct("item", "d", "w")).alias("cand"))
-    texts = docs.join(per_doc, docs["k"] == per_doc["doc"]).select("k", "t", "cand")
-    return texts.mapInArrow(_verify({int(i): ws for i, ws in block}), "doc BIGINT, item BIGINT")
-
-
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, limit: int = BLOCK_SHINGLES) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, bits_per_key: int = 32) -> DataFrame:
     """(doc, item): the document and the item have WINDOW or more consecutive words in common."""
+    spark = docs.sparkSession
+    it = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
+    it = it.select("item", F.xxhash64("item", "t").alias("tid"), "t").mapInArrow(_item_rows, f"item BIGINT, {TEXT}")
+    it = checkpoint(it)
+    filt = filter_of(it.select(F.explode("hashes").alias("h")).distinct(), bits_per_key)
     own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    out = None
-    for block in _blocks(items, item_key, item_text, limit):
-        found = _block_leaks(own, block)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc BIGINT, item BIGINT")
-    return out.distinct()
+    found = own.mapInArrow(_passages(spark.sparkContext.broadcast(filt)), "doc BIGINT, words ARRAY<STRING>")
+    found = checkpoint(found.select("doc", F.xxhash64("words").alias("pid"), "words").distinct())
+    # equal passages are one row; the pair of a hash and the number of words tells them apart
+    once = found.groupBy("pid", "words").agg(F.count(F.lit(1)).alias("n_docs"))
+    once = checkpoint(once.select("pid", "n_docs", "words"))
+    at = once.mapInArrow(_with_shingles, "pid BIGINT, n_docs BIGINT, hashes ARRAY<BIGINT>").select("pid", "n_docs", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
+    df = at.groupBy("h").agg(F.sum("n_docs").alias("df"))
+    each = it.select("tid", F.posexplode("hashes").alias("w", "h")).join(df, "h")
+    # the rarest of the SPAN shingles from each position on; one that no document has leaves a hole
+    ahead = Window.partitionBy("tid").orderBy("w").rangeBetween(0, SPAN - 1)
+    rarest = each.select("tid", "w", F.count(F.lit(1)).over(ahead).alias("m"), F.min(F.struct("df", "w", "h")).over(ahead).alias("r")).where(F.col("m") == SPAN)
+    prefix = rarest.select("tid", "w", F.col("r.h").alias("h"), (F.col("r.w") - F.col("w")).alias("off"))
+    placed = at.select("pid", "n", "pos", "h").join(prefix, "h").select("pid", "tid", "w", (F.col("pos") - F.col("off")).alias("d"), "n")
+    placed = placed.where(f"d >= 0 AND d + {SPAN} <= n").select("pid", "tid", "w", "d")
+    same = placed.join(once.select("pid", F.col("words").alias("x")), "pid").join(it.select("tid", "item", F.col("words").alias("y")), "tid")
+    same = same.where(F.slice("x", F.col("d") + 1, WINDOW) == F.slice("y", F.col("w") + 1, WINDOW)).select("pid", "item").distinct()
+    return found.select("doc", "pid").distinct().join(same, "pid").select("doc", "item").distinct()

@@ -139,13 +139,21 @@ def test_leaks(spark):
     of_doc, of_item = [(d[0], grams(words(d[1]))) for d in docs], [(i[0], grams(words(i[2]))) for i in items]
     want = {(d, i) for d, x in of_doc for i, y in of_item if x & y}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string, pos string"), spark.createDataFrame(items + items[:3], "item_id long, task string, text string")
-    for limit in (leakage.BLOCK_SHINGLES, 400):
-        got = [(x["doc"], x["item"]) for x in leakage.leaks(dd, "doc_id", "text", ii, "item_id", "text", limit).collect()]
+    for bits_per_key in (32, 1):
+        got = [(x["doc"], x["item"]) for x in leakage.leaks(dd, "doc_id", "text", ii, "item_id", "text", bits_per_key).collect()]
         assert set(got) == want and len(got) == len(want) and want
     assert leakage.leaks(dd, "doc_id", "text", ii.limit(0), "item_id", "text").count() == 0
     assert leakage.leaks(dd.limit(0), "doc_id", "text", ii, "item_id", "text").count() == 0
 
 
+def test_leaks_of_two_texts_under_one_item_and_of_null_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(15)), " ".join(f"b{i}" for i in range(15))
+    items = spark.createDataFrame([(1, a), (1, b), (None, a), (2, "few words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, b + " x"), (3, "x " + a + " y " + b), (None, a), (4, " ".join(f"a{i}" for i in range(11)))] + [(10 + i, a) for i in range(50)], "doc_id long, text string")
+    got = sorted((x["doc"], x["item"]) for x in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [(1, 1), (2, 1), (3, 1), *((10 + i, 1) for i in range(50))]
+
+
 # near duplicates
 
 
