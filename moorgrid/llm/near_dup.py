@@ -5,14 +5,18 @@ pair of sizes a <= b then shares at least alpha = t / (1 + t) * (a + b) shingles
 order of all shingles the first shared one stands at position <= a - alpha of the one and <= b -
 alpha of the other. Steps:
 
-1. Texts with equal shingle sets are one group (the identical prefix and size at its strongest):
-   copies cost one representative, however many there are.
-2. The order is by rarity: a count sketch of fixed size over all texts (SKETCH counters), then the
-   shingle's hash. A counter of 1 proves that a shingle is unique, so it needs no posting.
-3. Prefix postings go to buckets by shingle. Each bucket receives every of its groups once with its
-   size and a parity bitmap of its shingles, pairs up postings within the bounds of length and
-   position, and drops pairs whose bitmaps prove too large a difference. No bound loses a pair.
-4. Remaining pairs are verified on the whole sets; groups expand to their members at the end.
+1. Texts with equal shingle sets are one set: copies cost one representative, however many there are.
+2. The order is by rarity: a count sketch of fixed size over all texts (SKETCH counters of one byte,
+   exact to 15, then in eighths of a power of two), then the shingle's hash. A counter of 1 proves that
+   a shingle is unique, so it needs no posting.
+3. Sets with the same size and the same prefix are one group, whose prefix is posted once. A posting goes
+   to the bucket of its shingle with the group's members and a parity bitmap of each; a shingle of more than
+   HOT sets is spread over a grid of cells, of which each posting takes one row and column, and a group
+   that its rarest shingle allows to be larger than HOT is split by the hash of its members.
+4. Each bucket pairs up groups within the bounds of length and position, expands the pairs (and the
+   groups themselves) to members, and drops those whose bitmaps prove too large a difference. No bound
+   loses a pair.
+5. All remaining pairs of members are verified on the whole sets; sets expand to their texts at the end.
 
 Defined cases: null, empty and short texts (fewer than min_words words) are in no pair and their
 own class; a repeated key is one text (the one with the smallest set hash); null keys are left out.
@@ -21,6 +25,7 @@ own class; a repeated key is one text (the one with the smallest set hash); null
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +33,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorgrid.llm.words import mix, shingles, word_hashes, words
+from moorgrid.llm.words import mix, shingle_sets
 from moorgrid.operators.orphans import bloom, bloom_blocks, probe
 from moorgrid.session import checkpoint, parallelism
 
-SKETCH = 1 << 22
-SKETCH_PART = 1 << 16
+SKETCH = 1 << 24
+SKETCH_PART = 1 << 18
+SKETCH_FLUSH = 1 << 21
 MAP_WORDS = 8  # a bitmap of 512 bits
-FLUSH_DOCS, EXPAND = 8192, 1 << 21
+HOT = 4096  # sets in one cell of a shingle's grid
+SLICE, FLUSH_DOCS, EXPAND = 1024, 8192, 1 << 21
 HEAD = "kind INT, key STRING, grp BIGINT, n INT, payload BINARY"
-BUCKET = "bucket INT, groups BINARY, sizes BINARY, maps BINARY, toks BINARY, owners BINARY, places BINARY"
+BUCKET = "bucket INT, groups BINARY, sizes BINARY, many BINARY, sets BINARY, maps BINARY, toks BINARY, owners BINARY, places BINARY"
+FIRST, SIDE, PLACE = np.uint32(1 << 31), 29, np.uint32((1 << 29) - 1)
 
 
-def shingle_set(text: str | None, k: int, min_words: int) -> np.ndarray | None:
-    """Sorted distinct shingle hashes; none for a text of fewer words."""
-    ws = words(text)
-    if len(ws) < max(min_words, k):
-        return None
-    return np.unique(shingles(word_hashes(ws), k))
+def set_hash(s: np.ndarray, seed: int = 0) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed)).astype(np.int64))
 
 
-def set_hash(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+def _sliced(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
 
 
 def need(a, b, t: float):
@@ -58,134 +64,217 @@ def need(a, b, t: float):
 
 
 def _heads(k: int, min_words: int):
-    """Pass 1: (key, group, size) of every text and the task's counts of shingles."""
+    """Pass 1: (key, set, size) of every text and the task's counts of shingles."""
 
-    def run(batches):
-        import zlib
+    def counted(held):
+        at, c = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(at, np.arange(0, SKETCH + 1, SKETCH_PART))
+        rows = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        data = [zlib.compress(np.diff(at[a:b], prepend=0).astype("<u4").tobytes() + c[a:b].astype("<u4").tobytes(), 1) for _, a, b in rows]
+        m = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([int(b - a) for _, a, b in rows], pa.int32()), pa.array(data, pa.binary())], names=["kind", "key", "grp", "n", "payload"])
 
-        counts, seen = np.zeros(SKETCH, dtype=np.uint32), set()
-        for b in batches:
-            keys, groups, sizes = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle_set(text, k, min_words)
-                if s is None:
-                    continue
-                g = set_hash(s)
-                keys.append(key)
-                groups.append(g)
-                sizes.append(len(s))
+    def run(batches):
+        held, n_held, seen = [], 0, set()
+        for b in _sliced(batches):
+            names = b.column(0).to_pylist()
+            which, start, s = shingle_sets(b.column(1).to_pylist(), k, min_words)
+            place = (s & np.uint64(SKETCH - 1)).astype(np.uint32)
+            groups = [set_hash(s[x:y]) for x, y in zip(start[:-1], start[1:])]
+            if len(which):
+                m = len(which)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([names[i] for i in which], pa.string()), pa.array(groups, pa.int64()), pa.array(np.diff(start).astype(np.int32)), pa.nulls(m, pa.binary())], names=["kind", "key", "grp", "n", "payload"])
+            for g, x, y in zip(groups, start[:-1], start[1:]):
                 if g not in seen:
                     seen.add(g)
-                    np.add.at(counts, s & np.uint64(SKETCH - 1), 1)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(keys), pa.binary())], names=["kind", "key", "grp", "n", "payload"])
-        for part in range(SKETCH // SKETCH_PART):
-            c = counts[part * SKETCH_PART : (part + 1) * SKETCH_PART]
-            if c.any():
-                at = np.flatnonzero(c)
-                data = zlib.compress(np.r_[at.astype("<u4"), c[at].astype("<u4")].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.string()), pa.array([part], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([data], pa.binary())], names=["kind", "key", "grp", "n", "payload"])
+                    held.append(place[x:y])
+                    n_held += y - x
+            if n_held > SKETCH_FLUSH:
+                yield counted(held)
+                held, n_held = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
 
-def _add_sketches(batches):
-    import zlib
+def _code(c: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, in their order: exact to 15, then in eighths of a power of two."""
+    return np.where(c < 16, c, np.minimum(255, 16 + np.floor((np.log2(np.maximum(c, 16)) - 4) * 8))).astype(np.uint8)
+
 
+COUNT_OF = np.r_[np.arange(16), np.ceil(2 ** (4 + (np.arange(16, 256) - 15) / 8))].astype(np.int64)  # the most that a code can stand for
+
+
+def _add_sketches(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(zlib.decompress(data), dtype="<u4").reshape(2, -1)
+        for part, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            x = np.frombuffer(zlib.decompress(data), dtype="<u4").reshape(2, n)
             if part not in total:
-                total[part] = np.zeros(SKETCH_PART, dtype=np.uint32)
-            total[part][x[0]] += x[1]
+                total[part] = np.zeros(SKETCH_PART, dtype=np.int64)
+            total[part][np.cumsum(x[0], dtype=np.int64) - part * SKETCH_PART] += x[1]
     for part, c in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes()], pa.binary())], names=["grp", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(_code(c).tobytes(), 1)], pa.binary())], names=["grp", "payload"])
 
 
 def _sketch(head: DataFrame) -> np.ndarray:
-    """Counters of all texts: SKETCH of two bytes each (8 MiB), whatever the number of texts."""
-    parts = head.where("kind = 1").select("grp", "payload").repartition("grp").mapInArrow(_add_sketches, "grp BIGINT, payload BINARY").collect()
-    out = np.zeros(SKETCH, dtype=np.uint16)
+    """Counters of all texts: SKETCH of one byte each (16 MiB), whatever the number of texts."""
+    parts = head.where("kind = 1").select("grp", "n", "payload").repartition("grp").mapInArrow(_add_sketches, "grp BIGINT, payload BINARY").collect()
+    out = np.zeros(SKETCH, dtype=np.uint8)
     for r in parts:
-        out[r["grp"] * SKETCH_PART : (r["grp"] + 1) * SKETCH_PART] = np.frombuffer(r["payload"], dtype="<u2")
+        out[r["grp"] * SKETCH_PART : (r["grp"] + 1) * SKETCH_PART] = np.frombuffer(zlib.decompress(r["payload"]), dtype=np.uint8)
     return out
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount(((s >> np.uint64(40)) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+def _bitmaps(s: np.ndarray, start: np.ndarray) -> np.ndarray:
+    own = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    bit = ((s >> np.uint64(40)) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)
+    odd = np.bincount(own * (64 * MAP_WORDS) + bit, minlength=(len(start) - 1) * 64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, MAP_WORDS)
+
+
+def _cells(tok: np.ndarray, salt: np.ndarray, count: np.ndarray):
+    """(posting, token, side) of every cell that a posting goes to: one, or a row and column of a grid for hot shingles."""
+    rows = np.maximum(1, -(-count // HOT))
+    at = np.arange(len(tok))
+    plain = rows == 1
+    out = [(at[plain], tok[plain], np.zeros(plain.sum(), dtype=np.uint32))]
+    if not plain.all():
+        i = np.repeat(at[~plain], rows[~plain])
+        r = rows[i]
+        j = np.arange(len(i)) - np.repeat(np.cumsum(rows[~plain]) - rows[~plain], rows[~plain])
+        own = (salt[i] % r.astype(np.uint64)).astype(np.int64)
+        cell = np.minimum(own, j) * r + np.maximum(own, j) + 1
+        side = np.where(own == j, 0, np.where(own < j, 1, 2)).astype(np.uint32)
+        out.append((i, mix(tok[i] ^ (cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), side))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def _postings(sent, k: int, min_words: int, t: float, buckets: int):
-    """Pass 2: prefix postings by bucket."""
-
-    def flush(docs):
-        groups = np.array([d[0] for d in docs], dtype=np.int64)
-        sizes = np.array([d[1] for d in docs], dtype=np.int32)
-        maps = np.stack([d[2] for d in docs])
-        tok = np.concatenate([d[3] for d in docs])
-        place = np.concatenate([d[4] for d in docs]).astype(np.uint32)
-        owner = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(d[3]) for d in docs])
-        m = mix(tok)
+    """Pass 2: prefix postings of groups by bucket."""
+
+    def flush(groups: dict):
+        ids = np.array(list(groups), dtype=np.int64)
+        each = list(groups.values())  # (size, tokens, positions, counts, members, bitmaps)
+        n_tok = [len(g[1]) for g in each]
+        tok, pos, count = (np.concatenate([g[i] for g in each]) for i in (1, 2, 3))
+        own = np.repeat(np.arange(len(each)), n_tok)
+        first = np.zeros(len(tok), dtype=bool)
+        first[np.cumsum([0, *n_tok])[:-1]] = True
+        salt = mix(ids.view(np.uint64))[own]
+        i, cell, side = _cells(tok, salt, count)
+        place = pos[i].astype(np.uint32) | (side << np.uint32(SIDE)) | np.where(first[i], FIRST, np.uint32(0))
+        own = own[i]
+        m = mix(cell)
         where = (m % np.uint64(buckets)).astype(np.int64)
+        short = (m >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(buckets + 1))
-        short = (m >> np.uint64(32)).astype(np.uint32)
-        rows = []
-        for i in range(buckets):
-            at = order[cut[i] : cut[i + 1]]
-            if not len(at):
-                continue
-            used, own = np.unique(owner[at], return_inverse=True)
-            rows.append((i, groups[used].tobytes(), sizes[used].tobytes(), maps[used].tobytes(), short[at].tobytes(), own.astype(np.uint16).tobytes(), place[at].astype(np.uint32).tobytes()))
-        cols = list(zip(*rows))
-        names = [x.split()[0] for x in BUCKET.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+        many = np.array([len(g[4]) for g in each], dtype=np.uint32)
+        lo = np.cumsum(np.r_[0, many])
+        sets, maps = np.array([x for g in each for x in g[4]], dtype=np.int64), np.stack([x for g in each for x in g[5]])
+        sizes = np.array([g[0] for g in each], dtype=np.int32)
+        single = bool((many == 1).all())
+        out = []
+        for b in np.flatnonzero(np.diff(cut)):
+            at = order[cut[b] : cut[b + 1]]
+            used, local = np.unique(own[at], return_inverse=True)
+            member = used if single else np.concatenate([np.arange(lo[u], lo[u + 1]) for u in used])
+            out.append((int(b), ids[used].tobytes(), sizes[used].tobytes(), many[used].tobytes(), sets[member].tobytes(), maps[member].tobytes(), short[at].tobytes(), local.astype(np.uint16).tobytes(), place[at].tobytes()))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in BUCKET.split(", ")])
 
     def run(batches):
-        count, docs, seen = sent.value, [], set()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                s = shingle_set(text, k, min_words)
-                if s is None:
-                    continue
-                g = set_hash(s)
+        code, groups, seen = sent.value, {}, set()
+        for b in _sliced(batches):
+            _, start, s = shingle_sets(b.column(0).to_pylist(), k, min_words)
+            if len(start) < 2:
+                continue
+            maps, c = _bitmaps(s, start), code[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+            own = np.repeat(np.arange(len(start) - 1, dtype=np.uint16), np.diff(start))
+            order = np.argsort(c, kind="stable")
+            order = order[np.argsort(own[order], kind="stable")]  # by text, then rarity, then hash
+            for i, (x, y) in enumerate(zip(start[:-1].tolist(), start[1:].tolist())):
+                g = set_hash(s[x:y])
                 if g in seen:
                     continue
                 seen.add(g)
-                c = count[s & np.uint64(SKETCH - 1)]
-                order = np.argsort(c, kind="stable")  # s is sorted, so ties are in the order of the hash
-                n = len(s)
-                last = n - math.ceil(t * n - 1e-9)
-                order = order[: last + 1]
-                pos = np.flatnonzero(c[order] > 1)
-                if len(pos):
-                    docs.append((g, n, _bitmap(s), s[order[pos]], pos))
-                if len(docs) >= FLUSH_DOCS:
-                    yield flush(docs)
-                    docs = []
-        if docs:
-            yield flush(docs)
+                n = y - x
+                head = order[x : x + n - math.ceil(t * n - 1e-9) + 1]
+                pos = np.flatnonzero(c[head] > 1)
+                if not len(pos):
+                    continue  # every shingle of the prefix is unique
+                tok, count = s[head], COUNT_OF[c[head]]
+                # all members have the prefix's rarest shingle, so its count bounds the group
+                split = -(-int(count.min()) // HOT)
+                group = set_hash(tok, (n << 16) + (g % split if split > 1 else 0))
+                if group in groups:
+                    groups[group][4].append(g)
+                    groups[group][5].append(maps[i])
+                else:
+                    groups[group] = (n, tok[pos], pos, count[pos], [g], [maps[i]])
+            if len(groups) >= FLUSH_DOCS:
+                yield flush(groups)
+                groups = {}
+        if groups:
+            yield flush(groups)
 
     return run
 
 
+def _crossed(lo_x, n_x, lo_y, n_y):
+    """All pairs of members of paired groups."""
+    n = n_x * n_y
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return lo_x[of] + at // n_y[of], lo_y[of] + at % n_y[of]
+
+
 def _bucket_pairs(rows: list[tuple], t: float):
-    """Candidate pairs of one bucket."""
+    """Candidate pairs of sets of one bucket."""
     grp = np.concatenate([np.frombuffer(r[0], dtype=np.int64) for r in rows])
     size = np.concatenate([np.frombuffer(r[1], dtype=np.int32) for r in rows]).astype(np.int64)
-    maps = np.concatenate([np.frombuffer(r[2], dtype=np.uint64).reshape(-1, MAP_WORDS) for r in rows])
+    many = np.concatenate([np.frombuffer(r[2], dtype=np.uint32) for r in rows]).astype(np.int64)
+    sets = np.concatenate([np.frombuffer(r[3], dtype=np.int64) for r in rows])
+    maps = np.concatenate([np.frombuffer(r[4], dtype=np.uint64).reshape(-1, MAP_WORDS) for r in rows])
     base = np.cumsum([0, *(len(r[0]) // 8 for r in rows)])
-    tok = np.concatenate([np.frombuffer(r[3], dtype=np.uint32) for r in rows]).astype(np.int64)
-    own = np.concatenate([np.frombuffer(r[4], dtype=np.uint16).astype(np.int64) + o for r, o in zip(rows, base)])
-    pos = np.concatenate([np.frombuffer(r[5], dtype=np.uint32) for r in rows]).astype(np.int64)
-    _, first, back = np.unique(grp, return_index=True, return_inverse=True)
-    keep = first[back[own]] == own  # the same group from another task
-    tok, own, pos = tok[keep], own[keep], pos[keep]
+    tok = np.concatenate([np.frombuffer(r[5], dtype=np.uint32) for r in rows]).astype(np.int64)
+    own = np.concatenate([np.frombuffer(r[6], dtype=np.uint16).astype(np.int64) + o for r, o in zip(rows, base)])
+    place = np.concatenate([np.frombuffer(r[7], dtype=np.uint32) for r in rows])
+    # one group from several tasks: its members are joined, its postings kept once
+    _, head, name = np.unique(grp, return_index=True, return_inverse=True)
+    of = np.repeat(name, many)
+    order = np.lexsort((sets, of))
+    of, sets, maps = of[order], sets[order], maps[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (sets[1:] != sets[:-1])][: len(of)]
+    of, sets, maps = of[new], sets[new], maps[new]
+    lo = np.searchsorted(of, np.arange(len(head) + 1))
+    keep = head[name[own]] == own
+    tok, own, place = tok[keep], name[own[keep]], place[keep]
+    size, many = size[head], np.diff(lo)
+    pos, side = (place & PLACE).astype(np.int64), ((place >> np.uint32(SIDE)) & np.uint32(3)).astype(np.int64)
+    found = []
+
+    def checked(x, y, alpha):
+        """Members of paired groups whose bitmaps allow alpha shared shingles."""
+        a, b = _crossed(lo[x], many[x], lo[y], many[y])
+        n = many[x] * many[y]
+        alpha, both = np.repeat(alpha, n), np.repeat(size[x] + size[y], n)
+        apart = np.zeros(len(a), dtype=np.int64)
+        for w in range(MAP_WORDS):
+            apart += np.bitwise_count(maps[a, w] ^ maps[b, w])
+        ok = ((both - apart) // 2 >= alpha) & (sets[a] != sets[b])
+        if ok.any():
+            p, q = sets[a[ok]], sets[b[ok]]
+            found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
+
+    own_pairs = np.unique(own[(place & FIRST) > 0])
+    for g in own_pairs[many[own_pairs] > 1]:
+        checked(np.array([g]), np.array([g]), need(size[[g]], size[[g]], t))
     a = size[own]
     order = np.lexsort((a, tok))
-    tok, own, pos, a = tok[order], own[order], pos[order], a[order]
+    tok, own, pos, side, a = tok[order], own[order], pos[order], side[order], a[order]
     c = t / (1 + t)
     most = np.floor((a - pos) / c - a + 1e-9).astype(np.int64)  # largest partner that this position allows
     key = (tok << 22) | np.minimum(a, (1 << 22) - 1)
@@ -194,23 +283,21 @@ def _bucket_pairs(rows: list[tuple], t: float):
     n = np.maximum(end - np.arange(len(tok)) - 1, 0)
     start = np.flatnonzero(n)
     done = np.cumsum(n[start])
-    found, i = [], 0
+    i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + EXPAND, side="right")))
         part = start[i:j]
         x = np.repeat(part, n[part])
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
         alpha = need(a[x], a[y], t)
-        ok = (pos[x] <= a[x] - alpha) & (pos[y] <= a[y] - alpha)
+        ok = (pos[x] <= a[x] - alpha) & (pos[y] <= a[y] - alpha) & ((side[x] == 0) | (side[x] != side[y]))
         x, y, alpha = x[ok], y[ok], alpha[ok]
-        gx, gy = own[x], own[y]
-        apart = np.zeros(len(x), dtype=np.int64)
-        for w in range(MAP_WORDS):
-            apart += np.bitwise_count(maps[gx, w] ^ maps[gy, w])
-        ok = (a[x] + a[y] - apart) // 2 >= alpha
-        if ok.any():
-            gx, gy = grp[gx[ok]], grp[gy[ok]]
-            found.append(np.unique(np.stack([np.minimum(gx, gy), np.maximum(gx, gy)], axis=1), axis=0))
+        weight = np.cumsum(many[own[x]] * many[own[y]]) if len(x) else np.empty(0, dtype=np.int64)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + EXPAND, side="right")))
+            checked(own[x[at:to]], own[y[at:to]], alpha[at:to])
+            at = to
         i = j
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
 
@@ -230,9 +317,10 @@ def _candidates(t: float):
 
 def _sets(k: int, min_words: int):
     def run(batches):
-        for b in batches:
-            out = [(set_hash(s), s.tobytes()) for s in (shingle_set(x, k, min_words) for x in b.column(0).to_pylist()) if s is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["grp", "items"])
+        for b in _sliced(batches):
+            _, start, s = shingle_sets(b.column(0).to_pylist(), k, min_words)
+            each = [s[x:y] for x, y in zip(start[:-1], start[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], names=["grp", "items"])
 
     return run
 
@@ -280,7 +368,12 @@ def pairs(df: DataFrame, key: str, text: str, t: float = 0.8, k: int = 5, min_wo
     members = checkpoint(members)
     a, b = members.select(F.col("key").alias("x"), F.col("grp").alias("ga")), members.select(F.col("key").alias("y"), F.col("grp").alias("gb"))
     across = links.join(a, "ga").join(b, "gb").select("x", "y")
-    within = a.join(b, F.col("ga") == F.col("gb")).where("x < y").select("x", "y")
+    # copies: a large group's rows are spread over parts, each of which meets all of its copies
+    copies = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("grp", F.ceil(F.col("m") / HOT).cast("int").alias("parts"))
+    own = members.join(copies, "grp").select("grp", "key", "parts")
+    one = own.select("grp", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    all_parts = own.select("grp", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = one.join(all_parts, ["grp", "part"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

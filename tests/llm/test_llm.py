@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from moorgrid.llm import bpe, canonical, language, leakage, near_dup, residue, residue_examples, site_lines, term_counts
-from moorgrid.llm.words import shingles, word_hashes, words
+from moorgrid.llm.words import mix, shingles, word_hashes, words
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -201,6 +201,44 @@ def test_near_duplicates(spark, t, k, least):
     assert cls == {u: (find(u), links[u]) for u in links}
 
 
+def test_groups_of_one_prefix_and_hot_shingles(spark, monkeypatch):
+    # sets that share prefix and size but differ, and shingles of more sets than a cell holds
+    monkeypatch.setattr(near_dup, "HOT", 7)
+    r = random.Random(21)
+    base = [f"z{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in r.sample(range(30), r.choice([0, 1, 2, 9])):
+            w[j] = r.choice(["p", "q", "s", f"own{i}"])
+        rows.append((f"u{i}", " ".join(w)))
+    rows += [(f"v{i}", f"all share this one phrase own{i} own{i}x own{i}y") for i in range(40)] + [(f"c{i}", rows[0][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "url string, text string")
+    for t, k in ((0.5, 2), (0.8, 2)):
+        for parts in (1, 5):
+            got = [(x["a"], x["b"]) for x in near_dup.pairs(df.repartition(parts), "url", "text", t, k, 0).collect()]
+            assert len(got) == len(set(got)) and set(got) == jaccard_pairs(rows, t, k, 0) and got
+
+
+def test_one_shingle_in_very_many_texts():
+    import time
+
+    n, r = 100_000, np.random.default_rng(5)
+    tok = mix(np.full(n, 77, dtype=np.uint64))
+    salt = mix(np.arange(n, dtype=np.uint64))
+    at, cell, side = near_dup._cells(tok, salt, np.full(n, n))
+    rows = -(-n // near_dup.HOT)
+    assert len(at) == n * rows and np.bincount(np.unique(cell, return_inverse=True)[1]).max() < 2.5 * near_dup.HOT
+    # the work of the fullest cell is bounded whatever the number of texts
+    one = at[cell == np.unique(cell)[0]]
+    ids = r.integers(-(2**62), 2**62, len(one))
+    maps = r.integers(0, 2**63, (len(one), near_dup.MAP_WORDS)).astype(np.uint64)
+    t = time.time()
+    row = (ids.tobytes(), np.full(len(one), 4, dtype=np.int32).tobytes(), np.ones(len(one), dtype=np.uint32).tobytes(), ids.tobytes(), maps.tobytes(), np.zeros(len(one), dtype=np.uint32).tobytes(), np.arange(len(one), dtype=np.uint16).tobytes(), side[cell == np.unique(cell)[0]].astype(np.uint32).tobytes())
+    near_dup._bucket_pairs([row], 0.5)
+    assert time.time() - t < 60
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "url string, text string")
     assert near_dup.pairs(df, "url", "text").count() == 0 and near_dup.classes(df, "url", "text").count() == 0
