@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -45,6 +46,11 @@ def _convert(kind: Any, raw: str) -> Any:
     return kind(raw) if kind in (int, float, str) else raw
 
 
+def default_error(e: Exception) -> str:
+    logging.getLogger("requests").error("uncaught error: %s", e)
+    return f"error: {e}"
+
+
 class App:
     """Registry of named queries."""
 
@@ -69,6 +75,13 @@ class App:
 
         return register
 
+    @classmethod
+    def with_defaults(cls) -> App:
+        """A registry whose errors without a handler of their own become a logged text."""
+        app = cls()
+        app.exception(Exception)(default_error)
+        return app
+
     def paths(self) -> list[str]:
         return list(self._paths)
 
@@ -91,7 +104,7 @@ class App:
         return out
 
     def call(self, r: Request, **given: Any) -> Any:
-        """The result of a request; errors go to the first handler of a matching class."""
+        """The result of a request; errors go to the handler of the nearest class."""
         try:
             if r.path not in self._paths:
                 raise LookupError(r.path)
@@ -100,9 +113,10 @@ class App:
                 raise NotIdentified(r.path)
             return f(**self.arguments(f, r, given))
         except Exception as e:
-            for kind, handler in self._errors:
-                if isinstance(e, kind):
-                    return handler(e)
+            # the handler of the nearest class; of equal ones the first
+            near = sorted(((type(e).__mro__.index(k), i, h) for i, (k, h) in enumerate(self._errors) if isinstance(e, k)), key=lambda x: x[:2])
+            if near:
+                return near[0][2](e)
             raise
 
 

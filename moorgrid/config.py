@@ -10,12 +10,25 @@ _YES = {"1", "true", "yes", "on"}
 
 @dataclass(frozen=True)
 class Settings:
-    CRAWLER_WORKERS: int = 5
-    CRAWLER_QUEUE_MAXSIZE: int = 5000
-    CRAWLER_VISITED_TTL: int = 86400
-    STALE_DAYS: float = 14.0
-    ANNOUNCE_LOG_DAYS: int = 14
+    """Names, kinds and defaults are an interface (fixed values); those without a default are required."""
+
+    STORAGE_PATH: str
+    RNS_CONFIGDIR: str
+    NODE_IDENTITY_PATH: str
+    TEMPLATES_DIR: str
+    LOG_LEVEL: str
     TIME_FORMAT: str = "%d.%m.%Y, %H:%M:%S"
+    ANNOUNCE_NAME: str = "moorgrid"
+    CRAWLER_THREADS: int = 5
+    CRAWLER_QUEUE_MAXSIZE: int = 5000
+    CRAWLER_VISITED_CACHE_SECONDS: int = 86400
+    NODE_REMOVE_AFTER_DAYS: int = 14
+    NOMAD_NODE_ANNOUNCE_LOG_KEEP_DAYS: int = 14
+    LOG_PATH: str = "logs"
+
+    def announce_log(self) -> str:
+        """The folder of the announce log."""
+        return f"{self.LOG_PATH}/announces"
 
 
 def from_env(cls=Settings, env: dict | None = None):

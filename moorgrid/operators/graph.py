@@ -4,58 +4,23 @@ Edges are distinct; edges to unknown vertices are dropped before degrees are cou
 vertices without out-edges and the teleport go to the teleport weights. The result is scaled to
 mean 1. Ranks are checkpointed to shared storage, so a lost executor costs no earlier round.
 
-A graph of at most small_edges edges and vertices, which is counted first, is iterated inside one
-task over arrays: rounds there cost microseconds instead of jobs. Any larger graph takes the joins.
+Every graph takes the same plan whatever its size. Rounds between two tests of convergence are one job;
+a test reads the norm and the change of the last round from one aggregate, so it costs one action.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorgrid.session import checkpoint
 
 
-SMALL_EDGES = 1_000_000
-
-
-def _in_one_task(alpha: float, max_iters: int, tol: float):
-    """Rows (src, dst, t): vertices have a null src and their teleport share; the others are edges."""
-
-    def run(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
-            return
-        src, dst, share = t["src"].to_pandas().to_numpy(), t["dst"].to_pandas().to_numpy(), t["t"].to_numpy()
-        vertex = np.array([x is None for x in src])
-        names, weights = dst[vertex], share[vertex].astype(float)
-        order = np.argsort(names)
-        names, weights = names[order], weights[order]
-        a, b = np.searchsorted(names, src[~vertex]), np.searchsorted(names, dst[~vertex])
-        n = len(names)
-        degree = np.bincount(a, minlength=n)
-        part = 1.0 / np.maximum(degree, 1)
-        r = np.full(n, 1.0 / n)
-        for _ in range(max_iters):
-            got = np.bincount(b, weights=(r * part)[a], minlength=n)
-            new = (1 - alpha) * got + (alpha + (1 - alpha) * r[degree == 0].sum()) * weights
-            s = new.sum()
-            new = new / s if s > 0 else new
-            diff = np.abs(new - r).sum()
-            r = new
-            if diff < tol:
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(r * n)], names=["v", "score"])
-
-    return run
-
-
-def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.15, max_iters: int = 100, tol: float = 1e-10, personalize: DataFrame | None = None, every: int = 1, small_edges: int = SMALL_EDGES) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.15, max_iters: int = 100, tol: float = 1e-10, personalize: DataFrame | None = None, every: int = 4) -> DataFrame:
     """(v, score) from edges (src, dst), vertices (v) and optional teleport weights (v, weight).
 
-    every: rounds between checkpoints and convergence tests; the test needs both neighbouring rounds."""
+    every: rounds in one job. Each round is tested; ranks of the first round whose change falls below tol
+    are the result, so its number does not depend on every."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie between 0 and 1")
     if max_iters < 1 or every < 1:
@@ -78,32 +43,32 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float =
     known = base.select("v")
     e = edges.select("src", "dst").distinct()
     e = e.join(known.withColumnRenamed("v", "src"), "src", "left_semi").join(known.withColumnRenamed("v", "dst"), "dst", "left_semi")
-    if n <= small_edges:
-        e = checkpoint(e)
-        if e.count() <= small_edges:
-            rows = e.select("src", "dst", F.lit(0.0).alias("t")).unionByName(base.select(F.lit(None).cast("string").alias("src"), F.col("v").alias("dst"), share.alias("t")))
-            return rows.coalesce(1).mapInArrow(_in_one_task(alpha, max_iters, tol), "v STRING, score DOUBLE")
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    e = checkpoint(e.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("part")))
+    e = checkpoint(e.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("part")).repartition("src"))
     state = base.select("v", share.alias("t")).join(degree.select(F.col("src").alias("v"), F.lit(False).alias("dangling")), "v", "left")
     state = checkpoint(state.select("v", "t", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("r")))
-    state_cols = ["v", "t", "dangling"]
-    for i in range(max_iters):
-        sent = e.join(state.select(F.col("v").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(F.col("r") * F.col("part")).alias("got")).withColumnRenamed("dst", "v")
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost"), F.lit(1).alias("_one"))
-        step = state.join(sent, "v", "left").join(F.broadcast(lost), F.lit(1) == F.col("_one"))
-        new = (1 - alpha) * F.coalesce("got", F.lit(0.0)) + (F.lit(alpha) + (1 - alpha) * F.col("lost")) * F.col("t")
-        raw = step.select(*state_cols, new.alias("r"), F.col("r").alias("before"))
-        if (i + 1) % every and i + 1 < max_iters:
-            state = raw.drop("before")
-            continue
-        raw = checkpoint(raw)
-        s = raw.agg(F.sum("r")).first()[0]
-        scaled = raw.withColumn("r", F.col("r") / F.lit(s)) if s and s > 0 else raw
-        diff = scaled.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0]
-        state = scaled.drop("before")
-        if diff < tol:
+    done = 0
+    while done < max_iters:
+        rounds = min(every, max_iters - done)
+        # r0, r1, ...: the ranks after each round of this job; a round's mass is kept at one by its sum
+        step = state.withColumnRenamed("r", "r0")
+        for i in range(rounds):
+            now, new = f"r{i}", f"r{i + 1}"
+            sent = e.join(step.select(F.col("v").alias("src"), now), "src").groupBy("dst").agg(F.sum(F.col(now) * F.col("part")).alias("got")).withColumnRenamed("dst", "v")
+            lost = step.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col(now))), F.lit(0.0)).alias("lost"), F.sum(now).alias("mass"), F.sum("t").alias("teleport"), F.lit(1).alias("_one"))
+            joined = step.join(sent, "v", "left").join(F.broadcast(lost), F.lit(1) == F.col("_one"))  # one row
+            raw = (1 - alpha) * F.coalesce("got", F.lit(0.0)) + (F.lit(alpha) + (1 - alpha) * F.col("lost")) * F.col("t")
+            # the sum of all raw ranks: what the edges carry, what dangling vertices lose, and the teleport
+            total = (1 - alpha) * (F.col("mass") - F.col("lost")) + (F.lit(alpha) + (1 - alpha) * F.col("lost")) * F.col("teleport")
+            step = joined.select("v", "t", "dangling", *[f"r{j}" for j in range(i + 1)], F.when(total > 0, raw / total).otherwise(raw).alias(new))
+        step = checkpoint(step)
+        change = step.agg(*[F.sum(F.abs(F.col(f"r{i + 1}") - F.col(f"r{i}"))) for i in range(rounds)]).first()
+        below = [i for i in range(rounds) if change[i] < tol]
+        last = below[0] + 1 if below else rounds
+        state = step.select("v", "t", "dangling", F.col(f"r{last}").alias("r"))
+        if below:
             break
+        done += rounds
     return state.select("v", (F.col("r") * n).alias("score"))
 
 

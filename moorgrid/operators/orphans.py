@@ -19,12 +19,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, MAX_BLOCKS, BITS_PER_KEY = 1024, 1024, 16
-
+from moorgrid.operators.relational import normal_address
+from moorgrid.session import checkpoint
 
-def normal_address(c: Column) -> Column:
-    x = F.lower(F.regexp_replace(c, r"(?U)^[\s<>]+|[\s<>]+$", ""))
-    return F.when(x != "", x)
+WORDS, MAX_BLOCKS, BITS_PER_KEY = 1024, 1024, 16
 
 
 def latest_state(nodes: DataFrame) -> DataFrame:
@@ -52,8 +50,11 @@ def _with_place(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return df.withColumn("_mask", bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))).drop("_bits")
 
 
-def bloom_blocks(n_keys: int) -> int:
-    return max(1, min(MAX_BLOCKS, math.ceil(n_keys * BITS_PER_KEY / (64 * WORDS))))
+def bloom_blocks(n_keys: int, most: int = MAX_BLOCKS) -> int:
+    """Blocks for that many keys; with most blocks (8 KiB each) the filter of more than most * WORDS * 64 /
+    BITS_PER_KEY keys (4 million by default) fills up: at 4 times as many it passes about four in ten of the
+    unknown keys on to the exact join, at 16 times nearly all."""
+    return max(1, min(most, math.ceil(n_keys * BITS_PER_KEY / (64 * WORDS))))
 
 
 def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -71,12 +72,16 @@ def probe(refs: DataFrame, key: str, filt: DataFrame, blocks: int) -> DataFrame:
 
 
 def join_unique(refs: DataFrame, parents: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Left join to parents that are unique by key; keys with at least that share of refs are broadcast."""
-    counts = refs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") >= max(2.0, share * total)).select(key, F.lit(True).alias("_hot"))
+    """Left join to parents that are unique by key; keys with at least that share of refs are broadcast.
+
+    refs and parents are read more than once, so they should be stored or checkpointed."""
+    total = refs.count()
+    # a key of that share of all rows has that share of some partition's rows, so each task passes on few keys
+    hot = refs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2.0, share * total)).select(key, F.lit(True).alias("_hot"))
     # at most 1 / share keys can hold that share each
-    hot_parents = hot.join(parents, key, "left")
+    hot_parents = checkpoint(hot.join(parents, key, "left"))
+    if not hot_parents.limit(1).count():
+        return refs.join(parents, key, "left")
     marked = refs.join(F.broadcast(hot_parents), key, "left")
     extra = [c for c in parents.columns if c != key]
     known = marked.where("_hot").drop("_hot")
@@ -95,9 +100,9 @@ def references(citations: DataFrame, fields: tuple[str, ...] = ("target_address"
 
 def orphans(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, field, key, at, kind): every reference that is missing, deleted or late."""
-    parents = latest_state(nodes)
+    parents = checkpoint(latest_state(nodes))
     blocks = bloom_blocks(parents.count())
-    tested = probe(references(citations), "key", bloom(parents, "key", blocks), blocks)
+    tested = checkpoint(probe(references(citations), "key", bloom(parents, "key", blocks), blocks))
     definite = tested.where("NOT maybe").select("id", "field", "key", "at", F.lit("missing").alias("kind"))
     checked = join_unique(tested.where("maybe").drop("maybe"), parents, "key")
     kind = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("known_at") > F.col("at"), "late")

@@ -6,7 +6,7 @@ order ends with the key, so pages never overlap. A null removed flag counts as n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorgrid.functions.survival import dead_interval
@@ -31,7 +31,8 @@ def current_peers(peers: DataFrame) -> DataFrame:
 
 
 def normal_address(c: Column) -> Column:
-    x = F.lower(F.regexp_replace(c, r"^[\s<>]+|[\s<>]+$", ""))
+    """Lower case without surrounding white space of any script and angle brackets; null when nothing is left."""
+    x = F.lower(F.regexp_replace(c, r"(?U)^[\s<>]+|[\s<>]+$", ""))
     return F.when(x != "", x)
 
 
@@ -153,12 +154,5 @@ def history_page(history: DataFrame, identity: str, page: int = 0, size: int = 2
     return page_of(own.distinct(), [F.col("time").desc_nulls_last(), F.col("id").desc()], page, size).select("id", F.col("query").alias("q"), "time")
 
 
-def page_bounds(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """Offset windows by position, for orders that must stay over all rows."""
-    w = Window.orderBy(*order)
-    n = F.row_number().over(w)
-    return df.withColumn("position", n).where((F.col("position") > page * size) & (F.col("position") <= (page + 1) * size))
-
-
 def bracketed(c: Column) -> Column:
     return F.concat(F.lit("<"), plain_hex(c), F.lit(">"))

@@ -1,6 +1,6 @@
 """Full-text search: analysers, postings, keyed index writes, ranked retrieval and highlighting.
 
-The index is two tables: documents (unique by url) and postings (field, term, url, tf, length).
+The index is two tables, documents (unique by url) and postings (field, term, url, tf, length), and the totals.
 The score is BM25 per field with K1 and B, idf ln(1 + (N - df + 0.5) / (df + 0.5)), the field's
 boost and the mean length over all documents, summed over fields and terms. Order: score, then url.
 
@@ -14,12 +14,13 @@ import re
 import time as _time
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorgrid.functions import text as X
 from moorgrid.functions.stem import stem, stem_arrays
 from moorgrid.session import checkpoint
+from moorgrid.sources.versioned import VersionedTable
 
 K1, B = 1.2, 0.75
 BOOST = {"url": 1.0, "text": 1.0, "nodeName": 2.0, "owner": 1.0, "address": 1.0}
@@ -82,15 +83,137 @@ def term_statistics(posts: DataFrame) -> DataFrame:
     return posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("tf"))
 
 
-def write_index(docs: DataFrame, path: str, stemmed: bool = False) -> None:
-    """Stores an index; postings lie by field and sorted by term, so a query reads few row groups."""
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
-    stored = docs.sparkSession.read.parquet(f"{path}/documents")
-    postings(stored, stemmed).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
+def lengths_of(stemmed: bool = False) -> Column:
+    """Number of terms of each of FIELDS."""
+    each = _terms_of(stemmed)
+    return F.array(*[F.size(each[f]).cast("bigint") for f in FIELDS])
+
+
+def totals_of(docs: DataFrame) -> dict:
+    """Number of documents and terms per field, from documents with their lengths; one row."""
+    r = docs.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("lengths")[i]), F.lit(0)) for i in range(len(FIELDS))]).first()
+    return {"n_docs": int(r[0]), **{f: int(x) for f, x in zip(FIELDS, r[1:])}}
+
+
+class Index:
+    """A stored index. Documents lie in buckets of their url with their generation and lengths; postings are
+    appended per generation, by field and sorted by term, so a query reads the row groups of its terms;
+    totals are kept by every write. A posting holds while its document has its generation, so upserts and
+    deletes touch the buckets of their urls and never rewrite postings; compact() drops what is outdated."""
+
+    DOCS = "url STRING, text STRING, owner STRING, address STRING, nodeName STRING, raw STRING, gen BIGINT, lengths ARRAY<BIGINT>"
+    TOTALS = "n_docs BIGINT, " + ", ".join(f"{f} BIGINT" for f in FIELDS) + ", outdated BIGINT"
+
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool = False, buckets: int = 32):
+        self.spark, self.path, self.stemmed = spark, path, stemmed
+        self.table = VersionedTable(spark, f"{path}/documents", self.DOCS, "url", buckets)
+        self.cache = ResultCache()
+
+    def docs(self) -> DataFrame:
+        return self.table.read()
+
+    def version(self) -> int:
+        return max(self.table.versions(), default=-1)
+
+    def totals(self, before: int | None = None) -> dict:
+        v = [x for x in self.table.versions() if before is None or x < before]
+        zero = {"n_docs": 0, **dict.fromkeys(FIELDS, 0), "outdated": 0}
+        return self.spark.read.schema(self.TOTALS).parquet(f"{self.path}/totals/v={v[-1]}").first().asDict() if v else zero
+
+    def _finish(self, docs: DataFrame, hit: list[int], before: dict, old: dict, outdated: int, number: int) -> None:
+        """Totals first, as the documents' success marks the version."""
+        new = totals_of(docs)
+        row = {k: before[k] - old[k] + new[k] for k in new} | {"outdated": outdated}
+        self.spark.createDataFrame([tuple(row[c.split()[0]] for c in self.TOTALS.split(", "))], self.TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/v={number}")
+        self.table.write(docs, number)
+        self.cache.clear()
+
+    def _append(self, docs: DataFrame, number: int) -> None:
+        p = postings(docs, self.stemmed).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+        p.write.mode("overwrite").partitionBy("field").parquet(f"{self.path}/postings/gen={number}")
+
+    def upsert(self, batch: DataFrame, number: int | None = None) -> None:
+        """A batch of documents; urls in it replace the stored ones."""
+        number = self.version() + 1 if number is None else number
+        new = checkpoint(documents(batch).withColumns({"gen": F.lit(number).cast("bigint"), "lengths": lengths_of(self.stemmed)}))
+        hit = self.table.touched(new)
+        old = checkpoint(self.table.read(number, hit))
+        before, kept = self.totals(number), old.join(new.select("url"), "url", "left_anti")
+        docs = checkpoint(kept.unionByName(new).select(*old.columns))
+        replaced = old.count() + new.count() - docs.count()
+        self._append(new, number)
+        self._finish(docs, hit, before, totals_of(old), before["outdated"] + replaced, number)
+
+    def delete_by_address(self, addresses, number: int | None = None) -> None:
+        """Removes the documents of these addresses; their postings are outdated from then on."""
+        number = self.version() + 1 if number is None else number
+        here = self.table.read(number)
+        gone = here.select("url", "address").join(delete_by_address(here, addresses).select("url"), "url", "left_anti")
+        hit = self.table.touched(gone)
+        if not hit:
+            return
+        old = checkpoint(self.table.read(number, hit))
+        docs = checkpoint(delete_by_address(old, addresses).select(*old.columns))
+        before = self.totals(number)
+        self._finish_all(docs, hit, before, totals_of(old), before["outdated"] + old.count() - docs.count(), number)
+
+    def _finish_all(self, docs, hit, before, old, outdated, number) -> None:
+        """As _finish; buckets that lost their last document are written as empty ones."""
+        left = set(self.table.touched(docs))
+        self._finish(docs, hit, before, old, outdated, number)
+        for b in set(hit) - left:
+            self.spark.createDataFrame([], self.DOCS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/documents/v={number}/b={b}")
+
+    def compact(self) -> None:
+        """All documents under one generation and postings of these alone."""
+        number = self.version() + 1
+        docs = checkpoint(self.docs().withColumn("gen", F.lit(number).cast("bigint")))
+        self._append(docs, number)
+        before = self.totals()
+        self._finish(docs, [], before, {k: before[k] for k in before}, 0, number)
+        fs, at = self.table._fs, self.table._jvm.org.apache.hadoop.fs.Path
+        for g in self.table._names(at(f"{self.path}/postings"), "gen="):
+            if g != number:
+                fs.delete(at(f"{self.path}/postings/gen={g}"), True)
+
+    def postings(self, terms: dict[str, list[str]], prefixes: dict[str, list[str]] = {}) -> DataFrame:
+        """Valid postings of these terms of each field; both filters reach the scan."""
+        rows = self.spark.read.option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings")
+        want = F.lit(False)
+        for f in {*terms, *prefixes}:
+            ok = F.col("term").isin(terms.get(f, []))
+            for p in prefixes.get(f, []):
+                ok = ok | F.col("term").startswith(p)
+            want = want | ((F.col("field") == f) & ok)
+        rows = rows.where(want)
+        if self.totals()["outdated"]:
+            rows = rows.join(self.docs().select("url", "gen"), ["url", "gen"], "left_semi")
+        return rows
+
+    def search(self, query: str) -> DataFrame:
+        """As search(), on the stored postings."""
+        terms, prefixes = {}, {}
+        q = parse(query, self.stemmed)
+        for clause in q["any"] + q["all"]:
+            for f, ts, kind in clause:
+                if ts:
+                    (prefixes if kind == "prefix" else terms).setdefault(f, []).extend(ts)
+        return _retrieve(bm25(self.postings(terms, prefixes), self.docs(), query, self.stemmed, self.totals()), self.docs(), query, self.stemmed)
+
+    def cached(self, query: str, make, *more):
+        """A result kept for a while; every write clears what is kept."""
+        return self.cache.get((query, *more, self.version()), make)
+
+
+def write_index(docs: DataFrame, path: str, stemmed: bool = False) -> Index:
+    """Stores an index of documents."""
+    index = Index(docs.sparkSession, path, stemmed)
+    index.upsert(docs)
+    return index
+
+
+def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
+    return Index(spark, path, stemmed)
 
 
 _QUERY = re.compile(r'(?:(\w+):)?(?:"([^"]*)"|(\S+))')
@@ -172,23 +295,27 @@ def _expand_prefixes(posts: DataFrame, query: str, stemmed: bool) -> DataFrame |
     return out
 
 
-def bm25(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
-    """(url, score) of every document that matches any scored term; no limit, as later steps need all."""
+def bm25(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False, totals: dict | None = None) -> DataFrame:
+    """(url, score) of every document that matches any scored term; no limit, as later steps need all.
+
+    posts may be cut to the query's terms when totals (as an index keeps them) are given; else they are summed here."""
+    if totals is None:
+        per = posts.groupBy("field", "url").agg(F.first("length").alias("length")).groupBy("field").agg(F.sum("length").alias("total"))
+        totals = {"n_docs": docs.count(), **dict.fromkeys(FIELDS, 0), **{r["field"]: r["total"] for r in per.collect()}}  # one row per field
     spark = docs.sparkSession
-    terms = F.broadcast(query_terms(spark, query, stemmed))
+    exact = query_terms(spark, query, stemmed)
+    hits = posts.join(F.broadcast(exact), ["field", "term"])  # one row per word of the query
     more = _expand_prefixes(posts, query, stemmed)
     if more is not None:
-        terms = query_terms(spark, query, stemmed).unionByName(more)
-    hits = posts.join(terms, ["field", "term"])
-    df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    lengths = posts.groupBy("field", "url").agg(F.first("length").alias("length")).groupBy("field").agg(F.sum("length").alias("total"))
-    # df: one row per query term; lengths: one per field; n: one row
-    h = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(lengths), "field").join(F.broadcast(n.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    boost = F.element_at(F.create_map(*[x for f, b in BOOST.items() for x in (F.lit(f), F.lit(b))]), F.col("field"))
-    norm = K1 * (1 - B + B * F.col("length") / (F.col("total") / F.col("n_docs")))
-    part = F.col("n") * boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+        # a short prefix may stand for much of the vocabulary: a join of a size that Spark decides on
+        hits = hits.unionByName(posts.join(more, ["field", "term"]).select(*hits.columns))
+    df = hits.select("field", "term", "url").distinct().groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    h = hits.join(df if more is not None else F.broadcast(df), ["field", "term"])
+    by_field = lambda values: F.element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.lit(float(values[f])))]), F.col("field"))
+    n = F.lit(float(totals["n_docs"]))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / (by_field(totals) / n))
+    part = F.col("n") * by_field(BOOST) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return h.groupBy("url").agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -257,20 +384,22 @@ def _matches(clause: list, stemmed: bool) -> Column:
 
 
 def search(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
-    """(url, text, owner, address, name, score, pos): all candidates in retrieval order.
+    """(url, owner, address, name, score): all candidates; their retrieval order is score, then url.
 
-    Conditions of AND, NOT and phrases are checked on the documents that the postings find."""
-    return _retrieve(docs.join(bm25(posts, docs, query, stemmed), "url"), query, stemmed)
+    Conditions of AND, NOT and phrases are checked on the documents that the postings find. Texts are
+    joined by those who show them, for the rows that they show."""
+    return _retrieve(bm25(posts, docs, query, stemmed), docs, query, stemmed)
 
 
 def search_rows(rows: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
     """As search, from document rows without a stored index."""
     scores = scan_scores(rows, query, stemmed)
-    return _retrieve(documents(rows.join(scores.select("url"), "url", "left_semi")).join(scores, "url"), query, stemmed)
+    return _retrieve(scores, documents(rows.join(scores.select("url"), "url", "left_semi")), query, stemmed)
 
 
-def _retrieve(found: DataFrame, query: str, stemmed: bool) -> DataFrame:
+def _retrieve(scores: DataFrame, docs: DataFrame, query: str, stemmed: bool) -> DataFrame:
     q = parse(query, stemmed)
+    found = docs.join(scores, "url")
     for clause in q["all"]:
         found = found.where(_matches(clause, stemmed))
     for clause in q["none"]:
@@ -281,14 +410,30 @@ def _retrieve(found: DataFrame, query: str, stemmed: bool) -> DataFrame:
         for c in strict:
             ok = ok | _matches(c, stemmed)
         found = found.where(ok)
-    pos = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("url").asc()))
     name = F.coalesce(F.nullif(F.col("nodeName"), F.lit("")), F.col("url"))
-    # later steps read the hits several times
-    return checkpoint(found.select("url", "text", "owner", "address", name.alias("name"), "score", pos.alias("pos")))
+    return found.select("url", "owner", "address", name.alias("name"), "score")
+
+
+def retrieval_order() -> list[Column]:
+    return [F.desc("score"), F.asc("url")]
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 1 in an order of all rows: a range-partitioned sort, the partitions' counts,
+    and a number within each partition; no task ever holds more than its range."""
+    placed = checkpoint(rows.orderBy(*order)).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    counts = dict(placed.groupBy("_p").agg(F.count(F.lit(1))).collect())  # one row per partition
+    start, at = {}, 0
+    for p in sorted(counts):
+        start[p], at = at, at + counts[p]
+    if not start:
+        return placed.select(*rows.columns, F.lit(0).cast("bigint").alias(name))
+    first = F.element_at(F.create_map(*[F.lit(int(x)) for kv in start.items() for x in kv]), F.col("_p"))
+    return placed.select(*rows.columns, (first + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).cast("bigint").alias(name))
 
 
-def highlight(text: Column, query: str, stemmed: bool = False, marks: tuple[str, str] = BOLD, size: int = FRAGMENT) -> Column:
-    """Fragments around matched words, marked; the first SNIPPET characters where none matches."""
+def highlight(text: Column, query: str, stemmed: bool = False, marks: tuple[str, str] = BOLD, size: int = FRAGMENT, top: int | None = None) -> Column:
+    """Fragments around matched words, marked: all, or the first top ones; the first SNIPPET characters where none matches."""
     wanted = {t for c in parse(query, stemmed)["any"] + parse(query, stemmed)["all"] for f, ts, k in c if f == "text" for t in ts}
     word = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
@@ -307,7 +452,7 @@ def highlight(text: Column, query: str, stemmed: bool = False, marks: tuple[str,
                 out.append((a, b))
             end = b
         parts = []
-        for a, b in out[:3]:
+        for a, b in out[:top]:
             parts.append(word.sub(lambda m: marks[0] + m.group() + marks[1] if (stem(m.group().lower()) if stemmed else m.group().lower()) in wanted else m.group(), t[a:b]))
         return "...".join(parts)
 

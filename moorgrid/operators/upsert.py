@@ -108,6 +108,8 @@ def add_missing(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def write_back(table: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Computed columns written to rows of the same key; the others keep theirs."""
+    if not columns:
+        raise ValueError("no column to write")
     v = values.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = table.join(v, key, "left")
     return joined.withColumns({c: F.coalesce(f"_new_{c}", c) if c in table.columns else F.col(f"_new_{c}") for c in columns}).drop(*[f"_new_{c}" for c in columns])

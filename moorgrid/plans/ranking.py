@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from moorgrid.streaming import announces as SA
 from moorgrid.streaming import index as SI
 
 QUERY = "emergency weather radio Moro bridge"
+QUERY_2 = "weather harbour station"
 EVENTS_AS_OF = 1706659200.0
 
 
@@ -32,14 +34,30 @@ def _docs(spark, d):
     return S.documents(read(spark, d, "search_documents"))
 
 
+_INDEXES: dict[tuple, S.Index] = {}
+
+
+def _index(spark, d, stemmed=False):
+    """The stored index of the search documents; built once in a session and read by every query after that."""
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.write_index(read(spark, d, "search_documents"), _streamed(spark, "stored-index"), stemmed)
+    return _INDEXES[key]
+
+
 def _found(spark, d, stemmed=False, query=QUERY):
-    return S.search_rows(read(spark, d, "search_documents"), query, stemmed)
+    return _index(spark, d, stemmed).search(query)
 
 
 def _nodes(spark, d):
     return R.current_nodes(read(spark, d, "nodes"))
 
 
+def _raw(spark, d):
+    raw = read(spark, d, "documents").where("url IS NOT NULL")
+    return raw.select("url", "text", F.lit(None).cast("string").alias("owner"), F.col("source").alias("address"), F.lit(None).cast("string").alias("nodeName"))
+
+
 def index_postings_text(spark, d):
     return S.term_statistics(S.postings(_docs(spark, d))).where("field = 'text'")
 
@@ -51,9 +69,7 @@ def index_postings_name(spark, d):
 def index_upsert(spark, d):
     """The index after the raw documents came in as pages of their own urls."""
     docs = _docs(spark, d)
-    raw = read(spark, d, "documents").where("url IS NOT NULL")
-    batch = raw.select("url", "text", F.lit(None).cast("string").alias("owner"), F.col("source").alias("address"), F.lit(None).cast("string").alias("nodeName"))
-    return S.upsert_documents(docs, batch).select("url", "address", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), (F.col("raw").eqNullSafe(F.col("text"))).alias("same"))
+    return S.upsert_documents(docs, _raw(spark, d)).select("url", "address", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), (F.col("raw").eqNullSafe(F.col("text"))).alias("same"))
 
 
 def index_delete_by_address(spark, d):
@@ -64,23 +80,44 @@ def index_size(spark, d):
     return _docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
+def index_build(spark, d):
+    """A new stored index of all documents, its postings counted by field."""
+    i = S.write_index(read(spark, d, "search_documents"), _streamed(spark, "build"))
+    return spark.read.parquet(f"{i.path}/postings").groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").cast("bigint").alias("n_terms"))
+
+
+def index_after_changes(spark, d):
+    """Scores after documents of one address were deleted and the raw documents came in, without a rebuild."""
+    i = S.write_index(read(spark, d, "search_documents"), _streamed(spark, "changes"))
+    i.delete_by_address(ADDRESS)
+    i.upsert(_raw(spark, d))
+    return i.search(QUERY).select("url", F.round("score", 6).alias("score"))
+
+
 def search_bm25(spark, d):
-    """Scores through the postings of the index."""
-    docs = _docs(spark, d)
-    return S.bm25(checkpoint(S.postings(docs)), docs, QUERY).select("url", F.round("score", 6).alias("score"))
+    """Scores through the postings of the stored index."""
+    return _found(spark, d).select("url", F.round("score", 6).alias("score"))
 
 
 def search_scan(spark, d):
-    """Scores straight from the documents."""
-    return _found(spark, d).select("url", F.round("score", 6).alias("score"))
+    """Scores straight from the documents, without an index."""
+    return S.search_rows(read(spark, d, "search_documents"), QUERY).select("url", F.round("score", 6).alias("score"))
 
 
 def search_dedupe_url(spark, d):
-    return K.first_per_url(_found(spark, d)).select("url", F.col("pos").cast("bigint").alias("pos"))
+    """Hits of two queries together, of which many repeat a url; the better one of each stays."""
+    both = _found(spark, d).unionByName(_found(spark, d, query=QUERY_2))
+    return K.first_per_url(both).select("url", F.round("score", 6).alias("score"))
 
 
 def search_cap_address(spark, d):
-    return K.cap_per_address(K.first_per_url(_found(spark, d))).select("url", "address", F.col("pos").cast("bigint").alias("pos"))
+    kept = K.cap_per_address(K.first_per_url(_found(spark, d)).withColumns({"s": F.col("score")}))
+    return kept.select("url", "address", F.round("score", 6).alias("score"))
+
+
+def search_positions(spark, d):
+    """Every hit with its place in the retrieval order."""
+    return S.numbered(_found(spark, d), S.retrieval_order(), "pos").select("url", "pos")
 
 
 def _ranked(spark, d, stemmed=False):
@@ -88,24 +125,30 @@ def _ranked(spark, d, stemmed=False):
 
 
 def search_ranked(spark, d):
-    return _ranked(spark, d).select("url", "address", "name", F.round("score", 6).alias("score"), F.round("p_dead_low", 6).alias("p_dead_low"), F.round("p_dead_high", 6).alias("p_dead_high"), "time", F.col("order_no").cast("bigint").alias("order_no"))
+    return K.ranked(_ranked(spark, d)).select("url", "address", "name", F.round("score", 6).alias("score"), F.round("p_dead_low", 6).alias("p_dead_low"), F.round("p_dead_high", 6).alias("p_dead_high"), "time", "order_no")
 
 
 def search_page(spark, d):
     """One page of results with the name of the live node and the time since its announce."""
-    top = _ranked(spark, d).where("order_no <= 20")
+    page = K.top(_ranked(spark, d))
     node = R.live(_nodes(spark, d)).select(F.col("dst").alias("address"), F.col("name").alias("node_name"))
+    texts = _index(spark, d).docs().select("url", "text")
     name = F.when(F.col("node_name").isNotNull(), F.concat("node_name", F.lit(" "), path_from_url(F.col("url")))).otherwise(F.col("url"))
     ago = F.when(F.col("time") != 0, format_timedelta(since(AS_OF, F.col("time"))))
-    return top.join(node, "address", "left").select("url", name.alias("name"), format_text(F.substring("text", 1, 200)).alias("snippet"), ago.alias("since_announce"), F.col("order_no").cast("bigint").alias("order_no"))
+    # the page has 20 rows
+    shown = node.join(F.broadcast(page), "address", "right").select(*page.columns, "node_name")
+    return texts.join(F.broadcast(shown), "url").select("url", name.alias("name"), format_text(F.substring("text", 1, 200)).alias("snippet"), ago.alias("since_announce"), "order_no")
 
 
 def search_stemmed(spark, d):
-    return _ranked(spark, d, True).select("url", "order_no", F.round("score", 6).alias("score"))
+    return K.ranked(_ranked(spark, d, True)).select("url", "order_no", F.round("score", 6).alias("score"))
 
 
 def search_highlighted(spark, d):
-    return _found(spark, d).select("url", S.highlight(F.col("text"), QUERY).alias("fragment"))
+    """One page of hits with all their fragments."""
+    page = K.top(_ranked(spark, d), size=50).select("url", "order_no")
+    texts = _index(spark, d).docs().select("url", "text")
+    return texts.join(F.broadcast(page), "url").select("url", "order_no", S.highlight(F.col("text"), QUERY).alias("fragment"))
 
 
 def search_operators(spark, d):
@@ -150,7 +193,7 @@ def _graph(spark, d):
 
 def pagerank_fixed(spark, d):
     e, v = _graph(spark, d)
-    return G.pagerank(e, v, max_iters=5, tol=1e-300, small_edges=0).select("v", F.round("score", 6).alias("score"))
+    return G.pagerank(e, v, max_iters=5, tol=1e-300).select("v", F.round("score", 6).alias("score"))
 
 
 def pagerank_dangling(spark, d):
@@ -186,7 +229,7 @@ def crawl_admission(spark, d):
 def crawl_bfs(spark, d):
     pages = read(spark, d, "documents").where("url IS NOT NULL").select("url", "text")
     start = C.seeds(R.live(_nodes(spark, d))).unionByName(pages.select("url"))
-    return C.crawl(start, C.page_table_loader(pages), queue=None).select("url")
+    return C.crawl(start, C.link_table_loader(pages), lambda rows: rows).select("url")
 
 
 def _streamed(spark, name):
@@ -209,11 +252,11 @@ def stream_index_batches(spark, d):
     read(spark, d, "search_documents").repartition(4, "url").write.parquet(f"{base}/in")
     src = spark.readStream.schema(SI.DOCUMENT.rsplit(",", 1)[0]).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     SI.index_stream(src, f"{base}/out", f"{base}/state").awaitTermination()
-    return SA.VersionedTable(spark, f"{base}/out", SI.DOCUMENT).read().select("url", "address", "owner", "nodeName", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+    return SI.index_table(spark, f"{base}/out").read().select("url", "address", "owner", "nodeName", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 QUERIES = {f.__name__: f for f in (
-    index_postings_text, index_postings_name, index_upsert, index_delete_by_address, index_size, search_bm25, search_scan, search_dedupe_url, search_cap_address, search_ranked, search_page,
+    index_postings_text, index_postings_name, index_upsert, index_delete_by_address, index_size, index_build, index_after_changes, search_bm25, search_scan, search_dedupe_url, search_cap_address, search_positions, search_ranked, search_page,
     search_stemmed, search_highlighted, search_operators, survival_params, survival_prior, survival_ci, pagerank_fixed, pagerank_dangling, pagerank_personalized, pagerank_converged, rank_writeback,
     crawl_admission, crawl_bfs, stream_announce_upsert, stream_index_batches,
 )}
@@ -228,6 +271,9 @@ def _query_terms(query: str) -> list[tuple[str, str, int]]:
     return [(f, t, n) for (f, t), n in sorted(rows.items())]
 
 
+_B2 = Q.bm25(_query_terms(QUERY_2))
+for _name in ("qt", "po", "le", "al", "hi", "dn", "sc", "re"):
+    _B2 = re.sub(rf"\b{_name}\b", f"{_name}2", _B2)
 _I, _B = f"WITH RECURSIVE {Q.INDEX}", Q.bm25(_query_terms(QUERY))
 _RANK = f"WITH RECURSIVE {Q.NODES}, {Q.INDEX}, {_B}, {Q.ranked()}"
 _EDGES = "SELECT src_address AS src, target_address AS dst FROM lc"
@@ -240,7 +286,11 @@ wi AS (SELECT CAST(least(greatest(floor({EVENTS_AS_OF}::DOUBLE - min(ts)), 0), {
 kk AS (SELECT dst, count(*) AS k FROM an WHERE ts >= {EVENTS_AS_OF - 14 * 86400}::DOUBLE GROUP BY dst),
 sp AS (SELECT el.dst, el."time", CAST(1 + coalesce(k, 0) AS DOUBLE) AS announce_alpha, 1800.0::DOUBLE + w AS announce_beta, w AS announce_window_seconds, coalesce(k, 0) AS announce_k_events FROM el LEFT JOIN kk USING (dst), wi)"""
 
+_CHANGED = f"""WITH RECURSIVE {Q.INDEX.replace("d AS (", "d0 AS (", 1).replace("GROUP BY url)", "GROUP BY url), d AS (SELECT * FROM d0 WHERE address IS DISTINCT FROM '" + ADDRESS + "' AND url NOT IN (SELECT url FROM documents WHERE url IS NOT NULL) UNION ALL SELECT url, any_value(text), NULL, any_value(source), NULL FROM documents WHERE url IS NOT NULL GROUP BY url)", 1)}"""
+
 ORACLES = {
+    "index_after_changes": f"{_CHANGED}, {_B} SELECT url, round(score, 6) AS score FROM re",
+    "pagerank_converged": f"{_GRAPH}{Q.pagerank(_EDGES, 'SELECT dst AS v FROM ln', 60)} SELECT v, round(score, 6) AS score FROM pr",
     "index_postings_text": f"{_I} {_STATS.format('text')}",
     "index_postings_name": f"{_I} {_STATS.format('nodeName')}",
     "index_upsert": f"""{_I}, b AS (SELECT url, any_value(text) AS text, any_value(source) AS address FROM documents WHERE url IS NOT NULL GROUP BY url)
@@ -249,8 +299,10 @@ SELECT url, address, coalesce(length(text), 0) AS n_chars, true AS same FROM d W
     "index_size": f"{_I} SELECT count(*) AS n FROM d",
     "search_bm25": f"{_I}, {_B} SELECT url, round(score, 6) AS score FROM re",
     "search_scan": f"{_I}, {_B} SELECT url, round(score, 6) AS score FROM re",
-    "search_dedupe_url": f"{_I}, {_B} SELECT url, pos FROM re",
-    "search_cap_address": f"{_I}, {_B} SELECT url, address, pos FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY pos) AS k FROM re) WHERE k <= 2",
+    "index_build": f"{_I} SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms FROM (SELECT field, term, url, count(*) AS tf FROM occ GROUP BY 1, 2, 3) GROUP BY field",
+    "search_dedupe_url": f"{_I}, {_B}, {_B2} SELECT url, round(max(score), 6) AS score FROM (SELECT url, score FROM re UNION ALL SELECT url, score FROM re2) GROUP BY url",
+    "search_cap_address": f"{_I}, {_B} SELECT url, address, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY pos) AS k FROM re) WHERE k <= 2",
+    "search_positions": f"{_I}, {_B} SELECT url, pos FROM re",
     "search_ranked": f"{_RANK} SELECT url, address, name, round(score, 6) AS score, round(p_dead_low, 6) AS p_dead_low, round(p_dead_high, 6) AS p_dead_high, \"time\", order_no FROM rk",
     "search_page": f"""{_RANK} SELECT url, CASE WHEN ln.name IS NOT NULL THEN ln.name || ' ' || split_part(url, ':', 2) ELSE url END AS name, replace(regexp_replace(substring(text, 1, 200), '[{Q.SPACE}]+', ' ', 'g'), '``', '') AS snippet,
 CASE WHEN rk."time" <> 0 THEN {Q.timedelta(f'({AS_OF}::DOUBLE - rk.time)')} END AS since_announce, order_no FROM rk LEFT JOIN ln ON ln.dst = rk.address WHERE order_no <= 20""",

@@ -18,6 +18,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
+def read_configured(spark: SparkSession, settings) -> DataFrame:
+    """The log under the settings' LOG_PATH."""
+    return read_log(spark, settings.announce_log())
+
+
+def drop_configured(spark: SparkSession, settings) -> list[str]:
+    """Deletes the days beyond the settings' number of files to keep."""
+    return drop_old_days(spark, settings.announce_log(), settings.NOMAD_NODE_ANNOUNCE_LOG_KEEP_DAYS)
+
+
 def recent(announces: DataFrame, as_of: float, lookback_days: float = 14) -> DataFrame:
     """Announces of the look-back; one exactly at its start counts."""
     return announces.where(F.col("ts") >= as_of - max(1, int(lookback_days)) * 86400)

@@ -18,3 +18,13 @@ def put(store: DataFrame, key: str, value) -> DataFrame:
     """The next version of the store."""
     new = store.sparkSession.createDataFrame([(key, json.dumps(value))], "key STRING, value STRING")
     return store.where(F.col("key") != key).select("key", "value").unionByName(new)
+
+
+def get_user(store: DataFrame, identity: str, default=None):
+    """What a user has stored."""
+    return get(store, f"user:{identity}", default)
+
+
+def put_user(store: DataFrame, identity: str, value) -> DataFrame:
+    """The next version of the store with the user's value."""
+    return put(store, f"user:{identity}", value)

@@ -1,55 +1,31 @@
 """Announce ingest: a stream of announces keeps the latest state per node and peer.
 
-Arrival order decides, not event time: within a batch by seq, across batches by the batch. Each
-batch writes the next version folder of the table and then a pointer, so a repeated batch (after a
-failure) finds its version written and changes nothing.
+Arrival order decides, not event time: within a batch by seq, across batches by the batch. The table
+lies in buckets of its key. A batch reads and rewrites only the buckets that it has keys of, under a
+folder of its own number, so its cost follows the batch and the buckets it touches, and a repeated
+batch (after a failure) writes the same folder again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from moorgrid.operators.upsert import upsert_nodes
+from moorgrid.sources.versioned import VersionedTable
 
 ANNOUNCE = "aspect STRING, dst STRING, identity STRING, name STRING, ts DOUBLE, seq BIGINT, size INT"
 STATE = "dst STRING, identity STRING, name STRING, time DOUBLE, created_at DOUBLE, updated_at DOUBLE, rank DOUBLE, removed BOOLEAN"
 
 
-class VersionedTable:
-    """Parquet versions under one folder; the version is the number of the last batch that it holds."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-        self._jvm = spark.sparkContext._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Versions that were written to their end."""
-        if not self._fs.exists(self._root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(self._root, f"{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        v = [x for x in self.versions() if before is None or x < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v[-1]}") if v else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, version: int, keep: int = 2) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        for old in self.versions()[:-keep]:
-            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self._root, f"v={old}"), True)
-
-
-def ingest(stream: DataFrame, path: str, checkpoint: str, aspect: str = "node") -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, checkpoint: str, aspect: str = "node", buckets: int = 32) -> StreamingQuery:
     """Starts the upsert of a stream of ANNOUNCE rows and ends when all available input is in."""
-    spark = stream.sparkSession
-    table = VersionedTable(spark, path, STATE)
+    table = VersionedTable(stream.sparkSession, path, STATE, "dst", buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.where((F.col("aspect") == aspect) & (F.col("size") > 0)).select("dst", "identity", "name", "ts", "seq")
-        table.write(upsert_nodes(table.read(before=number), rows), number)
+        rows = batch.where((F.col("aspect") == aspect) & (F.col("size") > 0)).select("dst", "identity", "name", "ts", "seq").persist()
+        table.write(upsert_nodes(table.read(number, table.touched(rows)), rows), number)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -80,7 +80,8 @@ def test_cache():
 def test_rerank(spark):
     hits = spark.createDataFrame([("u1", "A", 9.0, 1), ("u2", "A", 8.0, 2), ("u3", "A", 7.0, 3), ("u4", "B", 6.0, 4), ("u5", None, 5.0, 5), ("u1", "A", 4.0, 6)], "url string, address string, score double, pos int").selectExpr("url", "'t' text", "'o' owner", "address", "url name", "score", "pos")
     nodes = spark.createDataFrame([("A", 3.0, 0.0, False, None, None), ("B", 50.0, 1e6, True, None, None)], "dst string, rank double, time double, removed boolean, announce_alpha double, announce_beta double")
-    got = K.rerank(hits, nodes, 1e6).orderBy("order_no").collect()
+    got = K.ranked(K.rerank(hits, nodes, 1e6)).orderBy("order_no").collect()
+    assert [(r["url"], r["order_no"]) for r in K.top(K.rerank(hits, nodes, 1e6), 1, 3).collect()] == [("u2", 4)]
     assert [r["url"] for r in got] == ["u4", "u5", "u1", "u2"]  # A's node is surely dead; B's is removed, so unknown
     assert got[0]["p_dead_low"] == 0.0 and got[2]["p_dead_low"] > 0.9
     assert K.rerank(hits.limit(0), nodes, 1e6).count() == 0
@@ -103,20 +104,20 @@ def reference_rank(edges, vertices, alpha, rounds, weights=None):
     return dict(zip(v, r * len(v)))
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_pagerank(spark, small):
+@pytest.mark.parametrize("every", [1, 3])
+def test_pagerank(spark, every):
     r = random.Random(2)
     v = [f"v{i}" for i in range(12)]
     edges = [(r.choice(v), r.choice(v + ["unknown"])) for _ in range(40)]
     e, vs = spark.createDataFrame(edges + edges[:5], "src string, dst string"), spark.createDataFrame([(x,) for x in v], "v string")
-    got = {x["v"]: x["score"] for x in G.pagerank(e, vs, max_iters=4, tol=1e-300, small_edges=small).collect()}
+    got = {x["v"]: x["score"] for x in G.pagerank(e, vs, max_iters=4, tol=1e-300, every=every).collect()}
     assert got == pytest.approx(reference_rank(edges, v, 0.15, 4)) and sum(got.values()) == pytest.approx(len(v))
     w = spark.createDataFrame([("v0", 2.0), ("v1", 1.0), ("nobody", 5.0), ("v2", -1.0)], "v string, weight double")
-    got = {x["v"]: x["score"] for x in G.pagerank(e, vs, max_iters=3, tol=1e-300, personalize=w, small_edges=small).collect()}
+    got = {x["v"]: x["score"] for x in G.pagerank(e, vs, max_iters=3, tol=1e-300, personalize=w, every=every).collect()}
     assert got == pytest.approx(reference_rank(edges, v, 0.15, 3, {"v0": 2.0, "v1": 1.0}))
-    lone = {x["v"]: x["score"] for x in G.pagerank(e.limit(0), vs, small_edges=small).collect()}
+    lone = {x["v"]: x["score"] for x in G.pagerank(e.limit(0), vs, every=every).collect()}
     assert lone == pytest.approx(dict.fromkeys(v, 1.0))
-    assert G.pagerank(e, vs.limit(0), small_edges=small).count() == 0
+    assert G.pagerank(e, vs.limit(0), every=every).count() == 0
 
 
 def test_pagerank_arguments(spark):
@@ -138,6 +139,17 @@ def test_admission(spark):
     rows = [("u", float(t), i) for i, t in enumerate([0, 50, 100, 149, 200, 200])] + [("w", None, 9), (None, 1.0, 10)]
     got = C.admissions(spark.createDataFrame(rows, "url string, ts double, seq long"), 100)
     assert sorted(tuple(r) for r in got.collect()) == [("u", 0.0), ("u", 100.0), ("u", 200.0)]
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "a", "b"]), r.choice([float(r.randint(0, 5000)), r.random() * 5000]), i) for i in range(30000)]
+    want = []
+    for u in {x[0] for x in rows}:
+        last = None
+        for t in sorted({x[1] for x in rows if x[0] == u}):
+            if last is None or t - last >= 7.3:
+                want.append((u, t))
+                last = t
+    got = C.admissions(spark.createDataFrame(rows, "url string, ts double, seq long").repartition(5), 7.3)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
 def test_crawl(spark):
@@ -145,4 +157,12 @@ def test_crawl(spark):
     start = spark.createDataFrame([("a:/page/index.mu",)], "url string")
     got = {r["url"]: r["depth"] for r in C.crawl(start, C.page_table_loader(pages), queue=None).collect()}
     assert got == {"a:/page/index.mu": 0, "a:/page/1.mu": 1, "b:/page/index.mu": 1, "b:/file/x.bin": 2}
-    assert C.crawl(start, C.page_table_loader(pages), queue=1, max_rounds=1).count() == 2
+    assert {r["url"]: r["depth"] for r in C.crawl(start, C.link_table_loader(pages), lambda x: x).collect()} == got
+    # a queue of one keeps the url found first, though another is smaller
+    one = C.crawl(spark.createDataFrame([("q",)], "url string"), C.link_table_loader(spark.createDataFrame([("a:/page/index.mu", "`[x`z:/page/index.mu] `[y`b:/page/index.mu]")], "url string, text string")), lambda x: x, queue=1)
+    assert {r["url"] for r in one.collect()} == {"q"}
+    one = C.crawl(start, C.link_table_loader(spark.createDataFrame([("a:/page/index.mu", "`[x`:/page/z.mu] `[y`:/page/b.mu]")], "url string, text string")), lambda x: x, queue=1)
+    assert {r["url"] for r in one.collect()} == {"a:/page/index.mu", "a:/page/z.mu"}
+    with pytest.raises(RuntimeError, match="deeper"):
+        C.crawl(start, C.page_table_loader(pages), max_rounds=1)
+    assert C.crawl(start, C.page_table_loader(pages), max_rounds=2).count() == 4

@@ -107,6 +107,7 @@ def test_legacy(spark, tmp_path):
 
 def test_store(spark):
     s = KV.put(KV.put(spark.createDataFrame([], "key string, value string"), "k", {"a": 1}), "e", [])
+    assert KV.get_user(KV.put_user(s, "i", [1]), "i") == [1] and KV.get_user(s, "i", []) == []
     assert KV.get(s, "k") == {"a": 1} and KV.get(s, "e", 7) == 7 and KV.get(s, "none") is None
 
 
@@ -135,7 +136,11 @@ def test_requests():
 
 
 def test_settings():
-    assert config.from_env(env={"STALE_DAYS": "3"}).STALE_DAYS == 3.0
+    need = dict.fromkeys(("STORAGE_PATH", "RNS_CONFIGDIR", "NODE_IDENTITY_PATH", "TEMPLATES_DIR", "LOG_LEVEL"), "x")
+    got = config.from_env(env={**need, "NODE_REMOVE_AFTER_DAYS": "3"})
+    assert got.NODE_REMOVE_AFTER_DAYS == 3 and got.CRAWLER_QUEUE_MAXSIZE == 5000 and got.announce_log() == "logs/announces"
+    with pytest.raises(ValueError, match="STORAGE_PATH, RNS_CONFIGDIR"):
+        config.from_env(env={})
     from dataclasses import dataclass
 
     @dataclass

@@ -26,10 +26,30 @@ def test_index_in_batches(spark, tmp_path):
     for text in ("one", "two"):
         spark.createDataFrame([("u", text, "o", "a", None), (text, "t", "o", "a", None)], schema).write.mode("append").parquet(src)
         I.index_stream(spark.readStream.schema(schema).parquet(src), out, state, compact_every=2).awaitTermination()
-    got = {r["url"]: r["raw"] for r in A.VersionedTable(spark, out, I.DOCUMENT).read().collect()}
+    got = {r["url"]: r["raw"] for r in I.index_table(spark, out).read().collect()}
     assert got == {"u": "two", "one": "t", "two": "t"}
 
 
+def test_a_small_batch_leaves_other_buckets_alone(spark, tmp_path):
+    table = I.index_table(spark, str(tmp_path / "t"), 16)
+    docs = spark.createDataFrame([(f"u{i}", "t", "o", "a", None, "t") for i in range(300)], I.DOCUMENT)
+    table.write(docs, 0)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([(f"u{i}", "new", "o", "a", None, "new") for i in range(3)], I.DOCUMENT)
+    hit = table.touched(batch)
+    assert 0 < len(hit) < 4
+    table.write(I.upsert_documents(table.read(1, hit), batch), 1)
+    after = files()
+    assert all(after[p] == t for p, t in before.items()) and {p.parent.name for p in set(after) - set(before)} == {f"b={b}" for b in hit}
+    got = {r["url"]: r["text"] for r in table.read().collect()}
+    assert len(got) == 300 and [u for u, t in got.items() if t == "new"] and sum(t == "new" for t in got.values()) == 3
+    table.write(I.upsert_documents(table.read(1, hit), batch), 1)  # the batch once more
+    assert table.read().count() == 300
+    table.compact(2)
+    assert {v[-1] for v in table.held().values()} == {2} and table.read().count() == 300
+
+
 def test_admission_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("u", float(t)) for t in (0, 50, 100, 149, 200)], "url string, ts double").coalesce(1).write.parquet(src)
