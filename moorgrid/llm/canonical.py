@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Characters without a shape, and blanks.
-INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x84\x86-\x9F\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\u3164\uFE00-\uFE0F\uFEFF\uFFA0\uFFF9-\uFFFB\U000E0000-\U000E007F]"
-BLANK = r"[\t\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
+INVISIBLE = r"[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\u3164\uFE00-\uFE0F\uFEFF\uFFA0\uFFF9-\uFFFB\U000E0000-\U000E007F]"
+BLANK = r"[\t\x0B\x0C\u00A0\u1680\u2000-\u200A\u202F\u205F\u2800\u3000]"
 BREAK = r"\r\n|[\r\x85\u2028\u2029]"
 # Letters of Cyrillic and Greek and, below each, the Latin letter of the same shape.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀаеѕіјорсухһԁԛԝӏүѵ"
@@ -32,8 +32,8 @@ GRE_LATIN = "ABEZHIKMNOPTYXFCjopcv"
 # (Armenian, Cherokee, Latin small capitals that look like the small letter) below which is the Latin one.
 GREEK_ONLY = "ΓΠΦ"
 GRE_CYRILLIC = "ГПФ"
-OTHERS = "ՕօոսհցԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴᴄᴏᴠᴡᴢꜱ"
-OTH_LATIN = "OonuhgLDRTAJEWMHGZVSLCPKBcovwzs"
+OTHERS = "ɑɡՕօոսհցԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴᴄᴏᴠᴡᴢꜱ"
+OTH_LATIN = "agOonuhgLDRTAJEWMHGZVSLCPKBcovwzs"
 WIDTH_TAGS = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
 JOINED = [*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)]
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from moorgrid.llm.residue_examples import filler as filler_lines
 
-DIM, CENTROIDS, SAMPLE_PER_LANG, FEW_PAGES = 2048, 6, 200, 8
+DIM, CENTROIDS, SAMPLE_PER_LANG, SAMPLE_CHARS, FEW_PAGES = 2048, 6, 200, 50_000, 8
 SHORT_LETTERS, MARGIN, WEAK, BOUND_QUANTILE, BOUND_SHARE = 14, 0.02, 0.2, 0.01, 0.7
 TEMPERATURE = 0.04
 FEW_SHARE, WASTE, FEW_SEGMENTS = 0.85, 0.35, 48
@@ -228,10 +228,11 @@ def code(c: Column) -> Column:
 def claimed_sample(pages: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_PER_LANG) -> list[tuple[str, str]]:
     """Up to rows pages of each claimed language, by the smallest hashes of their keys.
 
-    Copies of a text count once for a language. Keys and texts are chosen by their hashes, so only
+    Copies of a text count once for a language; pages of more than SAMPLE_CHARS characters take no part
+    in the fit (they are classified like all others), so the sample is bounded in size as well. Keys and texts are chosen by their hashes, so only
     chosen texts are moved."""
     claims = labels.select(F.col(key).alias("k"), code(F.col(label)).alias("lang")).where("k IS NOT NULL AND lang IS NOT NULL").distinct()
-    texts = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").withColumns({"kh": F.xxhash64("k"), "th": F.xxhash64("t")})
+    texts = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS)).withColumns({"kh": F.xxhash64("k"), "th": F.xxhash64("t")})
     once = claims.join(texts.select("k", "kh", "th"), "k").groupBy("lang", "th").agg(F.min("kh").alias("kh"))
     w = Window.partitionBy("lang").orderBy("kh", "th")
     chosen = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).drop("r")

@@ -5,9 +5,10 @@ masked in each line, and names where the line shows them by capitals. A line has
 minimum hashes of its masked words, plus one key of the line itself, so equal lines always meet.
 All keys belong to one source. Steps:
 
-1. Band keys (64-bit numbers) are counted over all documents. The keys that reach min_docs enter a
-   Bloom filter of at most MAX_WORDS words (8 MiB), whatever their number; a line none of whose
-   keys passes it cannot recur often enough and is dropped where it is read.
+1. Band keys (64-bit numbers) are counted over all documents. The keys that occur twice enter a
+   Bloom filter of a bounded size (8 MiB), whatever their number; a line none of whose keys passes it
+   is alone in its cluster and on one page, and is dropped where it is read. Clusters are counted as
+   wholes, so a line goes by this bound only, not by how often its own keys occur.
 2. The lines left are counted exactly: distinct documents per (source, line).
 3. Lines of a source with the same set of masked words are one group, whatever their bands. Within
    each source, all groups that share a band key and whose masked words have the similarity
@@ -31,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moorgrid.llm.bits import filter_of, passes
 from moorgrid.llm.near_dup import components
 from moorgrid.llm.words import mix
 from moorgrid.session import checkpoint
 
-BANDS, ROWS, MIN_LIKE = 3, 3, 0.8
-BITS_PER_KEY, MAX_WORDS = 16, 1 << 20
+BANDS, ROWS, MIN_LIKE = 5, 3, 0.8  # a pair of likeness 0.8 shares a band with probability 0.97
 LINES = "lid BIGINT, uid BIGINT, source STRING, line STRING, masked ARRAY<INT>, bands ARRAY<BIGINT>"
 _MASKS: dict[str, str] = {}
 _HASHES: dict[str, int] = {}
@@ -67,19 +68,19 @@ def _mask(word: str) -> str:
     return got
 
 
-def masked(line: str) -> list[str]:
-    """Words with numbers and names masked; the first word keeps its form, as capitals say nothing there."""
-    ws = line.split()
-    return [_mask(ws[0].lower()), *map(_mask, ws[1:])]
+def _mask_hash(word: str) -> int:
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    h = _HASHES[word] = xxhash.xxh3_64_intdigest(_mask(word))
+    return h
 
 
-def _hash(w: str) -> int:
-    h = _HASHES.get(w)
-    if h is None:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        h = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-    return h
+def masked(line: str) -> list[int]:
+    """Hashes of the words with numbers and names masked; the first word keeps its form, as capitals say nothing there."""
+    ws = line.split()
+    ws[0] = ws[0].lower()
+    get = _HASHES.get
+    return [get(w) or _mask_hash(w) for w in ws]
 
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -89,11 +90,12 @@ def line_id(source: str | None, norm: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{len(source) if source is not None else -1}:{source}:{norm}")
 
 
-def keys_of(sources: list[str | None], norm: list[str], masks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(sources: list[str | None], norm: list[str], masks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Line identifiers and band keys (one row per line)."""
     lid = np.array([line_id(s, n) for s, n in zip(sources, norm)], dtype=np.uint64)
-    src = np.array([_hash(f"s{s}" if s is not None else "n") for s in sources], dtype=np.uint64)
-    flat = np.array([_hash(w) for m in masks for w in m], dtype=np.uint64)
+    each = {s: xxhash.xxh3_64_intdigest(f"s{s}" if s is not None else "n") for s in set(sources)}
+    src = np.array([each[s] for s in sources], dtype=np.uint64)
+    flat = np.array([w for m in masks for w in m], dtype=np.uint64)
     at = np.cumsum([0, *map(len, masks)])[:-1]
     keys = np.empty((len(norm), BANDS + 1), dtype=np.uint64)
     keys[:, BANDS] = lid
@@ -142,25 +144,6 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys_of(src, norm, masks)[1].ravel().view(np.int64))], names=["band"])
 
 
-def _filter(often: DataFrame) -> np.ndarray:
-    """Bloom filter of the keys in the column band: four bits of one word per key."""
-    words = int(min(MAX_WORDS, max(1024, often.count() * BITS_PER_KEY // 64)))
-    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(band, {6 * k}) & 63 as int))" for k in range(4)))
-    rows = often.select(F.pmod(F.shiftright("band", 24), F.lit(words)).cast("int").alias("word"), mask.alias("m"))
-    got = rows.groupBy("word").agg(F.bit_or("m").alias("m")).toArrow()  # at most MAX_WORDS rows
-    out = np.zeros(words, dtype=np.int64)
-    out[got["word"].to_numpy()] = got["m"].to_numpy()
-    return out
-
-
-def _passes(filt: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = keys.view(np.int64)
-    m = np.zeros(k.shape, dtype=np.int64)
-    for j in range(4):
-        m |= np.int64(1) << ((keys >> np.uint64(6 * j)) & np.uint64(63)).astype(np.int64)
-    return (filt[(k >> np.int64(24)) % len(filt)] & m) == m
-
-
 def _select(sent):
     """Occurrences (lid, uid) of the lines left; each task describes each masked form of a line once."""
 
@@ -171,7 +154,7 @@ def _select(sent):
             if not norm:
                 continue
             lid, keys = keys_of(src, norm, masks)
-            keep = np.flatnonzero(_passes(filt, keys).any(axis=1))
+            keep = np.flatnonzero(passes(filt, keys).any(axis=1))
             if len(keep):
                 form = [hash((int(lid[i]), *masks[i])) for i in keep]
                 new = [f not in seen and not seen.add(f) for f in form]
@@ -182,7 +165,7 @@ def _select(sent):
                         pa.array([url_id(url[i]) for i in keep], pa.int64()),
                         pa.array(only(src), pa.string()),
                         pa.array(only(norm), pa.string()),
-                        pa.array([[_hash(w) % (1 << 31) for w in m] if m is not None else None for m in only(masks)], pa.list_(pa.int32())),
+                        pa.array([[w % (1 << 31) for w in m] if m is not None else None for m in only(masks)], pa.list_(pa.int32())),
                         pa.array(only(keys.view(np.int64)), pa.list_(pa.int64())),
                     ],
                     names=["lid", "uid", "source", "line", "masked", "bands"],
@@ -267,8 +250,8 @@ def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5,
     docs = df.select(F.col(source).alias("source"), F.col(url).alias("url"), F.col(text).alias("text")).where("url IS NOT NULL")
     total = docs.select("source", F.xxhash64("url").alias("u")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     texts = docs.where("text IS NOT NULL")
-    often = texts.mapInArrow(_keys, "band BIGINT").groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    sent = df.sparkSession.sparkContext.broadcast(_filter(checkpoint(often.select("band"))))
+    often = texts.mapInArrow(_keys, "band BIGINT").groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sent = df.sparkSession.sparkContext.broadcast(filter_of(checkpoint(often.select("band"))))
     at = checkpoint(texts.mapInArrow(_select(sent), LINES))
     once = at.select("lid", "uid").distinct()
     per_line = once.groupBy("lid").agg(F.count(F.lit(1)).alias("n_docs"))
