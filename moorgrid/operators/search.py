@@ -176,15 +176,17 @@ class Index:
             if g != number:
                 fs.delete(at(f"{self.path}/postings/gen={g}"), True)
 
-    def postings(self, terms: dict[str, list[str]], prefixes: dict[str, list[str]] = {}) -> DataFrame:
-        """Valid postings of these terms of each field; both filters reach the scan."""
+    def postings(self, query: str) -> DataFrame:
+        """Valid postings of the query's terms; field and term filters reach the scan."""
         rows = self.spark.read.option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings")
+        single: dict[str, list[str]] = {}
+        for f, t in _weighted(query, self.stemmed):
+            single.setdefault(f, []).append(t)
         want = F.lit(False)
-        for f in {*terms, *prefixes}:
-            ok = F.col("term").isin(terms.get(f, []))
-            for p in prefixes.get(f, []):
-                ok = ok | F.col("term").startswith(p)
-            want = want | ((F.col("field") == f) & ok)
+        for f, ts in single.items():
+            want = want | ((F.col("field") == f) & F.col("term").isin(ts))
+        for f, ts, kind in _multiple(query, self.stemmed):
+            want = want | ((F.col("field") == f) & _fits(F.col("term"), kind, ts))
         rows = rows.where(want)
         if self.totals()["outdated"]:
             rows = rows.join(self.docs().select("url", "gen"), ["url", "gen"], "left_semi")
@@ -192,13 +194,7 @@ class Index:
 
     def search(self, query: str) -> DataFrame:
         """As search(), on the stored postings."""
-        terms, prefixes = {}, {}
-        q = parse(query, self.stemmed)
-        for clause in q["any"] + q["all"]:
-            for f, ts, kind in clause:
-                if ts:
-                    (prefixes if kind == "prefix" else terms).setdefault(f, []).extend(ts)
-        return _retrieve(bm25(self.postings(terms, prefixes), self.docs(), query, self.stemmed, self.totals()), self.docs(), query, self.stemmed)
+        return _retrieve(bm25(self.postings(query), self.docs(), query, self.stemmed, self.totals()), self.docs(), query, self.stemmed)
 
     def cached(self, query: str, make, *more):
         """A result kept for a while; every write clears what is kept."""
@@ -216,21 +212,44 @@ def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
     return Index(spark, path, stemmed)
 
 
-_QUERY = re.compile(r'(?:(\w+):)?(?:"([^"]*)"|(\S+))')
+_QUERY = re.compile(r'(?P<mark>[()])|(?:(?P<field>\w+):)?(?:"(?P<phrase>[^"]*)"(?:\^(?P<by>\d+(?:\.\d+)?))?|\[(?P<low>[^\s\]]+) TO (?P<high>[^\s\]]+)\]|(?P<word>[^\s()]+))')
+_BOOSTED = re.compile(r"(.+)\^(\d+(?:\.\d+)?)$")
+MANY = ("prefix", "wild", "range")  # kinds that stand for all terms of the index that fit
 
 
 def parse(query: str, stemmed: bool = False) -> dict:
     """A query as clauses: any, all and none, each a list of alternatives (field, terms, kind).
 
-    Words match any field; field:word one; "a phrase" its words in order; word* a prefix; AND, OR and
-    NOT (or a leading -) join clauses. Terms pass through the analyser of each field."""
-    out: dict = {"any": [], "all": [], "none": []}
-    mode, pending = "any", None
+    Words match any field; field:word one; "a phrase" its words in order; word* a prefix; * and ? inside a
+    word any letters and one letter; [low TO high] all terms between; word^2 weighs more; ( ) makes its
+    members alternatives of one clause; AND, OR and NOT (or a leading -) join clauses. Terms pass through
+    the analyser of each field. weights: factors of (field, term) other than 1."""
+    out: dict = {"any": [], "all": [], "none": [], "weights": {}}
+    mode, pending, group = "any", None, None
+
+    def put(alternatives: list) -> None:
+        nonlocal pending
+        if alternatives:
+            if pending == "all" and out["any"] and not out["all"]:
+                out["all"].append(out["any"].pop())
+            out[pending or ("all" if mode == "all" else "any")].append(alternatives)
+        pending = None
+
     for m in _QUERY.finditer((query or "").strip()):
-        field, phrase, word = m.groups()
+        g = m.groupdict()
+        field, phrase, word = g["field"], g["phrase"], g["word"]
+        if g["mark"]:
+            if g["mark"] == "(":
+                group = []
+            elif group is not None:
+                put(group)
+                group = None
+            continue
         if field is not None and field not in BOOST:
             field, phrase, word = None, None, m.group(0)
         if phrase is None and field is None and word in ("AND", "OR", "NOT"):
+            if group is not None:
+                continue  # members of a group are alternatives
             if word == "AND":
                 mode, pending = "all", "all"
             elif word == "NOT":
@@ -238,25 +257,50 @@ def parse(query: str, stemmed: bool = False) -> dict:
             else:
                 mode = "any"
             continue
-        kind = "phrase" if phrase is not None else "prefix" if word.endswith("*") and len(word) > 1 else "term"
-        value = phrase if phrase is not None else word.rstrip("*") if kind == "prefix" else word
-        if kind == "term" and field is None and value.startswith("-") and len(value) > 1:
-            pending, value = "none", value[1:]
+        by = float(g["by"] or 1)
+        if phrase is not None:
+            kind, value = "phrase", phrase
+        elif word is None:
+            kind, value = "range", (g["low"], g["high"])
+        else:
+            if hit := _BOOSTED.match(word):
+                word, by = hit.group(1), float(hit.group(2))
+            if field is None and word.startswith("-") and len(word) > 1:
+                pending, word = "none", word[1:]
+            inner = word.rstrip("*")
+            kind = "wild" if inner and ("*" in inner or "?" in inner) else "prefix" if inner and inner != word else "term"
+            value = inner if kind == "prefix" else word
         alternatives = []
         for f in [field] if field else FIELDS:
-            terms = terms_for(f, value, stemmed, kind)
+            low = f in ("text", "nodeName")
+            if kind == "range":
+                terms = [x.lower() if low else x for x in value]
+            elif kind == "wild":
+                terms = ["^" + re.escape(value.lower() if low else value).replace("\\*", ".*").replace("\\?", ".") + "$"]
+            else:
+                terms = terms_for(f, value, stemmed, kind)
             if terms:
                 alternatives.append((f, terms, kind))
-        if not alternatives:
-            pending = None
-            continue
-        if pending == "all" and out["any"] and not out["all"]:
-            out["all"].append(out["any"].pop())
-        out[pending or ("all" if mode == "all" else "any")].append(alternatives)
-        pending = None
+                if by != 1:
+                    out["weights"] |= {(f, t): by for t in terms}
+        if group is not None:
+            group += alternatives
+        else:
+            put(alternatives)
+    if group:
+        put(group)
     return out
 
 
+def _fits(term: Column, kind: str, terms: list[str]) -> Column:
+    """Whether a term of the index is one that a prefix, a pattern or a range stands for."""
+    if kind == "range":
+        return term.between(*terms)
+    if kind == "wild":
+        return term.rlike(terms[0])
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: term.startswith(t)) if len(terms) > 1 else term.startswith(terms[0])
+
+
 def terms_for(field: str, value: str, stemmed: bool = False, kind: str = "term") -> list[str]:
     """Terms of a query word under a field's analyser."""
     if field == "url":
@@ -272,26 +316,34 @@ def terms_for(field: str, value: str, stemmed: bool = False, kind: str = "term")
     return words
 
 
-def query_terms(spark: SparkSession, query: str, stemmed: bool = False) -> DataFrame:
-    """(field, term, n): scored terms of all positive clauses; bounded by the query's length."""
+def _weighted(query: str, stemmed: bool) -> dict[tuple[str, str], float]:
+    """Weights of the single terms of all positive clauses."""
     q = parse(query, stemmed)
-    rows = {}
+    rows: dict[tuple[str, str], float] = {}
     for clause in q["any"] + q["all"]:
         for f, terms, kind in clause:
-            if kind != "prefix":
+            if kind not in MANY:
                 for t in terms:
-                    rows[f, t] = rows.get((f, t), 0) + 1
-    return spark.createDataFrame([(f, t, n) for (f, t), n in sorted(rows.items())], "field STRING, term STRING, n INT")
+                    rows[f, t] = rows.get((f, t), 0) + q["weights"].get((f, t), 1)
+    return rows
 
 
-def _expand_prefixes(posts: DataFrame, query: str, stemmed: bool) -> DataFrame | None:
-    q, out = parse(query, stemmed), None
-    for clause in q["any"] + q["all"]:
-        for f, terms, kind in clause:
-            if kind == "prefix":
-                for t in terms:
-                    got = posts.where((F.col("field") == f) & F.col("term").startswith(t)).select("field", "term").distinct().withColumn("n", F.lit(1))
-                    out = got if out is None else out.unionByName(got)
+def _multiple(query: str, stemmed: bool) -> list[tuple[str, list[str], str]]:
+    q = parse(query, stemmed)
+    return [a for clause in q["any"] + q["all"] for a in clause if a[2] in MANY]
+
+
+def query_terms(spark: SparkSession, query: str, stemmed: bool = False) -> DataFrame:
+    """(field, term, n): scored terms of all positive clauses; bounded by the query's length."""
+    return spark.createDataFrame([(f, t, float(n)) for (f, t), n in sorted(_weighted(query, stemmed).items())], "field STRING, term STRING, n DOUBLE")
+
+
+def _expand(posts: DataFrame, query: str, stemmed: bool) -> DataFrame | None:
+    """(field, term, n): the terms that prefixes, patterns and ranges stand for."""
+    out = None
+    for f, terms, kind in _multiple(query, stemmed):
+        got = posts.where((F.col("field") == f) & _fits(F.col("term"), kind, terms)).select("field", "term").distinct().withColumn("n", F.lit(1.0))
+        out = got if out is None else out.unionByName(got)
     return out
 
 
@@ -305,7 +357,7 @@ def bm25(posts: DataFrame, docs: DataFrame, query: str, stemmed: bool = False, t
     spark = docs.sparkSession
     exact = query_terms(spark, query, stemmed)
     hits = posts.join(F.broadcast(exact), ["field", "term"])  # one row per word of the query
-    more = _expand_prefixes(posts, query, stemmed)
+    more = _expand(posts, query, stemmed)
     if more is not None:
         # a short prefix may stand for much of the vocabulary: a join of a size that Spark decides on
         hits = hits.unionByName(posts.join(more, ["field", "term"]).select(*hits.columns))
@@ -324,14 +376,9 @@ def scan_scores(rows: DataFrame, query: str, stemmed: bool = False) -> DataFrame
 
     One scan keeps of each document the lengths of its fields and the counts of the query's terms;
     what is shuffled is that narrow table. Prefixes need the index."""
-    wanted: dict[tuple[str, str], int] = {}
-    q = parse(query, stemmed)
-    for clause in q["any"] + q["all"]:
-        for f, terms, kind in clause:
-            if kind == "prefix":
-                raise ValueError("a prefix is expanded from stored postings")
-            for t in terms:
-                wanted[f, t] = wanted.get((f, t), 0) + 1
+    if _multiple(query, stemmed):
+        raise ValueError("a prefix, pattern or range is expanded from stored postings")
+    wanted = _weighted(query, stemmed)
     spark, order = rows.sparkSession, sorted(wanted)
     if not order:
         return spark.createDataFrame([], "url STRING, score DOUBLE")
@@ -376,8 +423,8 @@ def _matches(clause: list, stemmed: bool) -> Column:
             ok = ok | joined.contains(" " + " ".join(terms) + " ")
         elif kind == "phrase":
             ok = ok | (F.size(F.array_except(F.array(*[F.lit(t) for t in terms]), own)) == 0)
-        elif kind == "prefix":
-            ok = ok | F.exists(own, lambda w: w.startswith(terms[0]))
+        elif kind in MANY:
+            ok = ok | F.exists(own, lambda w: _fits(w, kind, terms))
         else:
             ok = ok | F.arrays_overlap(own, F.array(*[F.lit(t) for t in terms]))
     return ok

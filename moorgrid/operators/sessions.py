@@ -9,7 +9,10 @@ Chunks: events are first counted per (entity, time), then range-partitioned by (
 one entity with a third of all rows is spread over many tasks. Each task builds the tree of its
 piece. What a neighbouring piece could still change is the outer spine alone; its blocks (start,
 end, count, inner gap) are passed on and the same algorithm joins them per entity. For gaps in
-random order a spine has about ln(n) blocks; only gaps that grow or shrink steadily make it longer.
+random order a spine has about ln(n) blocks. Equal gaps, as a clock makes them, do not lengthen it: the blocks
+between two of them are finished and pass on as one. So a spine has at most two blocks for each
+different gap of a run of gaps that only grows or only shrinks; n such gaps, a microsecond apart,
+take n * n / 2 microseconds, so 45 days hold at most 2.8 million of them (some 5 seconds in one task).
 
 Defined cases: rows with null time, or null or blank entity, are left out; a repeated id counts
 once; rows with a null id count once per distinct content; equal times are one point with several
@@ -83,6 +86,28 @@ def _build(start, end, n, gap, left_open: bool, right_open: bool):
     return [np.concatenate(x) for x in zip(*out)], [np.concatenate(x) for x in zip(*rest)]
 
 
+def _packed(rest: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(finished rows, open blocks) of a spine: runs of blocks between equal gaps are finished and become one block."""
+    order = np.lexsort((rest[1], rest[0]))
+    start, end, n, own, parent = (x[order] for x in rest)
+    g = start[1:] - end[:-1]
+    inner = np.zeros(len(start), dtype=bool)
+    if len(g) > 1:
+        inner[1:-1] = g[1:] == g[:-1]
+    edge = np.diff(np.r_[False, inner, False].astype(np.int8))
+    runs = [(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if b - a > 1]
+    if not runs:
+        return [x[:0] for x in rest], [start, end, n, own, parent]
+    gone, cum = np.zeros(len(start), dtype=bool), np.r_[0, np.cumsum(n)]
+    made = []
+    for a, b in runs:
+        gone[a:b] = True
+        made.append((start[a], end[b - 1], cum[b] - cum[a], g[a], g[a]))
+    between = np.r_[g, np.inf]  # an inner block's parent is the gap on either side
+    done = [start[gone], end[gone], n[gone], own[gone], between[gone]]
+    return done, [np.concatenate([x[~gone], np.array(m, dtype=x.dtype)]) for x, m in zip((start, end, n, own, parent), zip(*made))]
+
+
 def _piece(batches):
     """One range partition: complete entities are finished, the first and the last stay open outside."""
     t = pa.Table.from_batches(list(batches))
@@ -93,6 +118,9 @@ def _piece(batches):
     cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
     for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
         done, rest = _build(time[a:b], time[a:b], n[a:b], np.zeros(b - a), k == 0, k == len(cut) - 2)
+        sure, rest = _packed(rest)
+        done = [np.concatenate(x) for x in zip(done, sure)]
+        done = [x[done[3] < done[4]] for x in done]  # no threshold lies between equal gaps
         for rows, is_open in ((done, False), (rest, True)):
             if len(rows[0]):
                 yield pa.RecordBatch.from_arrays(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from moorgrid.operators.upsert import write_back
 from moorgrid.plans import sql as Q
 from moorgrid.plans.sql import AS_OF
 from moorgrid.plans.store import ADDRESS
-from moorgrid.session import checkpoint, checkpoint_dir
+from moorgrid.session import scratch
 from moorgrid.sources.tables import read
 from moorgrid.streaming import announces as SA
 from moorgrid.streaming import index as SI
@@ -233,7 +232,7 @@ def crawl_bfs(spark, d):
 
 
 def _streamed(spark, name):
-    return f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def stream_announce_upsert(spark, d):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,6 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="moorgrid-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -72,3 +76,21 @@ def ship(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that the session runs at once, at least the shuffle partitions' default."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables beside the checkpoints; sweep() deletes all of them."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the folders that scratch() gave; call it before the session stops."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -47,6 +47,17 @@ def test_query_language(spark):
     assert {r["url"] for r in S.search(S.postings(d), d, "weath*").collect()} >= {"a:/1", "a:/3", "b:/1", "c:/1"}
 
 
+def test_patterns_ranges_groups_and_boosts(spark):
+    d = S.documents(docs(spark))
+    p = S.postings(d).cache()
+    found = lambda q: {r["url"] for r in S.search(p, d, q).collect()}
+    assert found("text:w?ath*r") == {"a:/1", "a:/3"} and found("text:br*ge") == {"a:/1", "a:/2"} and found("text:[pa TO rb]") == {"a:/1", "a:/2"}
+    assert found("(text:probe OR text:nothing) AND text:the") == {"a:/1"} and found("(text:radio text:nothing)") == {"a:/2", "b:/1"} and found("text:bridge NOT (text:probe)") == {"a:/2"}
+    assert found("-text:probe text:bridge") == {"a:/2"} and found("(") == set()
+    one, two = ({r["url"]: r["score"] for r in S.search(p, d, q).collect()} for q in ("text:radio", "text:radio^2.5"))
+    assert two == pytest.approx({u: 2.5 * x for u, x in one.items()})
+
+
 def test_upsert_and_delete(spark):
     d = S.documents(docs(spark))
     new = S.upsert_documents(d, spark.createDataFrame([("a:/1", "new", "o", "a", None)], DOC))

@@ -65,3 +65,16 @@ def test_growing_shrinking_and_equal_gaps(spark, times):
 
 def test_empty(spark):
     assert run(spark, [], [10]) == {10: []}
+
+
+def test_a_clock_makes_no_long_spine(spark):
+    from moorgrid.operators import sessions as S
+
+    times = [60.0 * i for i in range(20000)] + [2e6 + 60.0 * i for i in range(5000)] + [4e6 + 7.0 * i for i in range(3000)]
+    df = spark.createDataFrame([("bot", t, "q", i) for i, t in enumerate(times)], "e string, t double, q string, id long").repartition(4)
+    pts = S.points(df, "e", "t", "q", "id")
+    ordered = pts.repartitionByRange(7, "entity", "t").sortWithinPartitions("entity", "t")
+    assert ordered.mapInArrow(S._piece, S.TREE + ", is_open BOOLEAN").where("is_open").count() < 60
+    tree = S.gap_tree(pts).cache()
+    for threshold, want in ((5, [1] * 28000), (7, [1] * 25000 + [3000]), (60, [3000, 5000, 20000]), (1e9, [28000])):
+        assert sorted(r["n_events"] for r in S.cut(tree, threshold).collect()) == want
