@@ -75,24 +75,39 @@ def _pattern(p: str) -> str:
     return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", p)
 
 
+JOIN = "{joined}"
+
+
+def joined_map() -> dict[str, str]:
+    """Characters that become several."""
+    return {a: b for a, b in {**width_map(), **shape_map()}.items() if len(b) > 1}
+
+
+def join_sql(present: list[str], many: dict[str, str]) -> str:
+    """The replacements of the characters that a table holds; all of them would cost far more to plan than to run."""
+    x = "x"
+    for a in present:
+        x = f"replace({x}, {_quote(a)}, {_quote(many[a])})"
+    return x
+
+
 def statements() -> list[str]:
-    """SQL steps over the tables t0 (k, x), t1, ...; kept apart so that no expression is written twice."""
+    """SQL steps over the tables t0 (k, x), t1, ...; kept apart so that no expression is written twice.
+
+    JOIN stands for join_sql of the characters in the step's table."""
     width, shape = width_map(), shape_map()
-    many = {a: b for a, b in {**width, **shape}.items() if len(b) > 1}
     one = lambda t: {a: b for a, b in t.items() if len(b) == 1}
-    tr = lambda x, t: f"translate({x}, {_quote(''.join(t))}, {_quote(''.join(t.values()))})"
+    # translate reads its tables anew for each row, so only rows that hold one of their characters go through it
+    tr = lambda t: f"CASE WHEN regexp_matches(x, {_quote('[' + ''.join(t) + ']')}) THEN translate(x, {_quote(''.join(t))}, {_quote(''.join(t.values()))}) ELSE x END"
     x = f"regexp_replace(x, {_quote(_pattern(INVISIBLE))}, '', 'g')"
     x = f"regexp_replace({x}, {_quote(_pattern(BREAK))}, chr(10), 'g')"
     x = f"regexp_replace({x}, {_quote(_pattern(BLANK))}, ' ', 'g')"
-    joined = "x"
-    for a, b in many.items():
-        joined = f"replace({joined}, {_quote(a)}, {_quote(b)})"
-    rare = _quote("[" + "".join(many) + "]")
     return [
-        f"SELECT k, {tr(x, one(width))} AS x FROM t0",
-        f"SELECT k, CASE WHEN regexp_matches(x, {rare}) THEN {joined} ELSE x END AS x FROM t1",
-        f"SELECT k, {tr('nfc_normalize(x)', one(shape))} AS x FROM t2",
-        f"SELECT k, nfc_normalize(CASE WHEN regexp_matches(x, {rare}) THEN {joined} ELSE x END) AS x FROM t3",
+        f"SELECT k, CASE WHEN regexp_full_match(x, {_quote('[ -~' + chr(10) + ']*')}) THEN x ELSE {x} END AS x FROM t0",
+        f"SELECT k, {tr(one(width))} AS x FROM t1",
+        f"SELECT k, nfc_normalize({JOIN}) AS x FROM t2",
+        f"SELECT k, {tr(one(shape))} AS x FROM t3",
+        f"SELECT k, nfc_normalize({JOIN}) AS x FROM t4",
     ]
 
 
@@ -101,13 +116,17 @@ def _runner(raw_hash: bool):
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
-        steps = statements()
+        steps, many = statements(), joined_map()
+        rare = _quote("[" + "".join(many) + "]")
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 t0 = pa.table({"k": b.column(0), "x": b.column(1).cast(pa.string())}).slice(at, 2048)
                 tables = {"t0": t0}
                 for i, sql in enumerate(steps):
                     con.register(f"t{i}", tables[f"t{i}"])
+                    if JOIN in sql:
+                        present = con.sql(f"SELECT DISTINCT unnest(regexp_extract_all(x, {rare})) FROM t{i} ORDER BY 1").fetchall()
+                        sql = sql.replace(JOIN, join_sql([r[0] for r in present], many))
                     tables[f"t{i + 1}"] = con.sql(sql).to_arrow_table()
                     con.unregister(f"t{i}")
                 last = tables[f"t{len(steps)}"]
@@ -134,6 +153,17 @@ def forms(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_runner(True), f"k {kind}, form STRING, stored STRING").select(F.col("k").alias(key), "form", "stored").distinct()
 
 
+def classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, n_members): one row per key with a visible character; class_id is the smallest key of its form.
+
+    Keys are unique in the table; the linear form of alike_pairs where a class is large."""
+    from moorgrid.session import checkpoint
+
+    f = checkpoint(forms(df, key, text))
+    per = f.groupBy("form").agg(F.min(key).alias("class_id"), F.countDistinct(key).alias("n_members"))
+    return f.select(key, "form").distinct().join(per, "form").select(key, "class_id", "n_members")
+
+
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: keys whose texts are stored differently and have one canonical form.
 
