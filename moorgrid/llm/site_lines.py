@@ -5,10 +5,12 @@ masked in each line, and names where the line shows them by capitals. A line has
 minimum hashes of its masked words, plus one key of the line itself, so equal lines always meet.
 All keys belong to one source. Steps:
 
-1. Band keys (64-bit numbers) are counted over all documents. The keys that occur twice enter a
-   Bloom filter of a bounded size (8 MiB), whatever their number; a line none of whose keys passes it
-   is alone in its cluster and on one page, and is dropped where it is read. Clusters are counted as
-   wholes, so a line goes by this bound only, not by how often its own keys occur.
+1. Band keys (64-bit numbers) are counted over all documents. The keys that occur key_docs times enter
+   a Bloom filter of a bounded size (8 MiB), whatever their number; a line none of whose keys passes it
+   is dropped where it is read. With key_docs = 2, the default, such a line is alone in its cluster and
+   on one page, so clusters are whole however thin their links are. With key_docs = min_docs every line
+   that by itself is on min_docs pages is left, as each line has a key of its own: that is all that
+   frequent_lines needs, and far less data.
 2. The lines left are counted exactly: distinct documents per (source, line).
 3. Lines of a source with the same set of masked words are one group, whatever their bands. Within
    each source, all groups that share a band key and whose masked words have the similarity
@@ -244,13 +246,13 @@ def _link(batches):
     yield links(band, gid, sets)
 
 
-def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5, min_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5, min_share: float = 0.1, key_docs: int = 2) -> tuple[DataFrame, DataFrame]:
     """(lines, occurrences): lines (source, line, lid, n_docs, cluster, cluster_docs, n_source) of the clusters
     that recur too often, and where they occur (lid, uid); uid is url_id of the url."""
     docs = df.select(F.col(source).alias("source"), F.col(url).alias("url"), F.col(text).alias("text")).where("url IS NOT NULL")
     total = docs.select("source", F.xxhash64("url").alias("u")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     texts = docs.where("text IS NOT NULL")
-    often = texts.mapInArrow(_keys, "band BIGINT").groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = texts.mapInArrow(_keys, "band BIGINT").groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(key_docs, min_docs))
     sent = df.sparkSession.sparkContext.broadcast(filter_of(checkpoint(often.select("band"))))
     at = checkpoint(texts.mapInArrow(_select(sent), LINES))
     once = at.select("lid", "uid").distinct()

@@ -279,6 +279,8 @@ def test_site_lines(spark):
     got = [(x["source"], x["line"]) for x in site_lines.frequent_lines(kept).collect()]
     want = line_pairs(rows)
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    few, _ = site_lines.repeated(df, "url", "address", "text", key_docs=5)
+    assert {(x["source"], x["line"]) for x in site_lines.frequent_lines(few).collect()} == want
     masks = {x["cluster"] for x in kept.where("line LIKE 'page % of 400' AND source = 'A'").collect()}
     assert len(masks) == 1  # numbers are masked, so the variants are one cluster
     clean = {x["url"]: x["text"] for x in site_lines.cleaned(df, "url", "address", "text").collect()}
