@@ -245,6 +245,18 @@ def stream_announce_upsert(spark, d):
     return SA.VersionedTable(spark, f"{base}/out", SA.STATE).read().select("dst", "identity", "name", "time", "created_at", "updated_at", "rank", "removed")
 
 
+def stream_announce_aspects(spark, d):
+    """All peers and nodes as one stream of both aspects, read by one ingest for each."""
+    base = _streamed(spark, "aspects")
+    rows = [read(spark, d, t).distinct().select(F.lit(a).alias("aspect"), "dst", "identity", "name", F.col("time").alias("ts"), F.col("id").alias("seq"), F.lit(1).alias("size")) for a, t in (("node", "nodes"), ("peer", "peers"))]
+    rows[0].unionByName(rows[1]).write.parquet(f"{base}/in")
+    out = []
+    for a in ("node", "peer"):
+        SA.ingest(spark.readStream.schema(SA.ANNOUNCE).parquet(f"{base}/in"), f"{base}/{a}", f"{base}/{a}-state", a).awaitTermination()
+        out.append(SA.VersionedTable(spark, f"{base}/{a}", SA.STATE).read().select(F.lit(a).alias("aspect"), "dst"))
+    return out[0].unionByName(out[1])
+
+
 def stream_index_batches(spark, d):
     """All search documents as a stream in several batches; the result is the last version of the index."""
     base = _streamed(spark, "index")
@@ -257,7 +269,7 @@ def stream_index_batches(spark, d):
 QUERIES = {f.__name__: f for f in (
     index_postings_text, index_postings_name, index_upsert, index_delete_by_address, index_size, index_build, index_after_changes, search_bm25, search_scan, search_dedupe_url, search_cap_address, search_positions, search_ranked, search_page,
     search_stemmed, search_highlighted, search_operators, survival_params, survival_prior, survival_ci, pagerank_fixed, pagerank_dangling, pagerank_personalized, pagerank_converged, rank_writeback,
-    crawl_admission, crawl_bfs, stream_announce_upsert, stream_index_batches,
+    crawl_admission, crawl_bfs, stream_announce_upsert, stream_announce_aspects, stream_index_batches,
 )}
 
 
@@ -321,5 +333,6 @@ SELECT url, ts FROM ad""",
     "crawl_bfs": f"""WITH RECURSIVE {Q.NODES}, {Q.LINKS}, fr AS (SELECT url FROM (SELECT dst || ':/page/index.mu' AS url FROM ln UNION SELECT url FROM documents WHERE url IS NOT NULL) UNION SELECT lr.link AS url FROM fr JOIN lr ON lr.url = fr.url WHERE contains(fr.url, '.mu')) SELECT url FROM fr""",
     "stream_announce_upsert": f"""WITH ba AS (SELECT {Q.address('target_address')} AS dst, {Q.address('src_address')} AS bi, 'seen ' || id AS bn, created_at AS bt, id FROM (SELECT DISTINCT * FROM citations))
 SELECT dst, first(bi ORDER BY id DESC) AS identity, first(bn ORDER BY id DESC) AS name, first(bt ORDER BY id DESC) AS "time", first(bt ORDER BY id DESC) AS created_at, first(bt ORDER BY id DESC) AS updated_at, 0.0::DOUBLE AS rank, false AS removed FROM ba WHERE dst IS NOT NULL GROUP BY dst""",
+    "stream_announce_aspects": "SELECT DISTINCT 'node' AS aspect, dst FROM nodes WHERE dst IS NOT NULL AND time IS NOT NULL UNION ALL SELECT DISTINCT 'peer', dst FROM peers WHERE dst IS NOT NULL AND time IS NOT NULL",
     "stream_index_batches": f"{_I} SELECT url, address, owner, nodeName, coalesce(length(text), 0) AS n_chars FROM d",
 }

@@ -188,6 +188,26 @@ def legacy_explode(spark, d):
     return L.citations(L.parse(text, "citations"))
 
 
+def legacy_announces(spark, d):
+    """Nodes written as old JSON maps by address and read back."""
+    v = F.struct("dst", "identity", "name", "time")
+    per = _nodes(spark, d).groupBy(F.substring("dst", 1, 2)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dst"), v))).alias("nodes"))
+    return L.announces(L.parse(per.select(F.to_json(F.struct("nodes")).alias("value")), "announces"), "nodes")
+
+
+def legacy_queries(spark, d):
+    """Queries written as old JSON lists and read back."""
+    per = read(spark, d, "search_queries").groupBy(F.floor(F.col("id") / 1000)).agg(F.collect_list("query").alias("queries"))
+    return L.queries(L.parse(per.select(F.to_json(F.struct("queries")).alias("value")), "queries"))
+
+
+def legacy_user_data(spark, d):
+    """History written as old JSON maps by identity and read back; one identity's rows lie in many files."""
+    h = read(spark, d, "user_search_history").where("remote_identity IS NOT NULL")
+    per = h.groupBy("remote_identity", F.floor(F.col("id") / 1000)).agg(F.collect_list(F.struct(F.col("query").alias("q"), "time")).alias("items"))
+    return L.user_data(L.parse(per.select(F.to_json(F.create_map("remote_identity", "items")).alias("value")), "user_data"))
+
+
 def _log_lines(spark, d):
     """Events as announce lines, with the kinds of broken lines that a log has."""
     e = read(spark, d, "events")
@@ -240,7 +260,7 @@ def since_text(spark, d):
 QUERIES = {f.__name__: f for f in (
     nodes_all, peers_all, node_lookup, owner_lookup, nodes_count, peers_count, nodes_count_filtered, peers_count_filtered, nodes_page, nodes_page_filtered,
     peers_page, peers_page_filtered, peers_page_daytext, nodes_listing, nodes_mentions, nodes_survival, pages_total, crawl_seeds, recent_queries_unique, home_recent, home_summary,
-    history_page, history_count, citation_sources, citation_counts, latest_per_key, node_upsert, peer_upsert, citations_merge, stale_nodes, stale_citations, legacy_explode,
+    history_page, history_count, citation_sources, citation_counts, latest_per_key, node_upsert, peer_upsert, citations_merge, stale_nodes, stale_citations, legacy_explode, legacy_announces, legacy_queries, legacy_user_data,
     announce_log_scan, strip_markup, extract_links, link_classes, address_from_url, format_text, replace_malformed, clean_queries, since_text,
 )}
 
@@ -296,6 +316,9 @@ FROM c0 FULL JOIN nt ON c0.target_address = nt.tgt AND c0.src_address = nt.src L
     "stale_nodes": f"{_W}, {_GONE} SELECT dst FROM go",
     "stale_citations": f"{_W}, {_GONE}, {Q.CITES} SELECT target_address, src_address, removed OR src_address IN (SELECT dst FROM go) OR target_address IN (SELECT dst FROM go) AS removed FROM c0",
     "legacy_explode": "SELECT DISTINCT target_address, src_address FROM citations WHERE length(target_address) = 32 AND length(src_address) = 32",
+    "legacy_announces": f"{_W} SELECT dst, identity, name, \"time\" FROM n0",
+    "legacy_queries": "SELECT query FROM search_queries WHERE query IS NOT NULL AND query <> ''",
+    "legacy_user_data": "SELECT remote_identity, query, \"time\" FROM user_search_history WHERE remote_identity IS NOT NULL AND query IS NOT NULL AND \"time\" IS NOT NULL",
     "announce_log_scan": f"""SELECT md5('src' || user_id) AS dst, count(*) AS n, round(min(epoch(ts)), 6) AS first_ts, round(max(epoch(ts)), 6) AS last_ts FROM events
 WHERE event_type NOT IN ('error', 'signup', 'purchase') AND epoch(ts) >= {1706659200.0 - DAYS * 86400} GROUP BY 1""",
     "strip_markup": f"SELECT doc_id, {Q.strip('text')} AS plain FROM documents",

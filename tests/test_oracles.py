@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import compare
-from moorgrid.plans import problems, ranking, store
+from moorgrid.plans import pages, problems, ranking, store
 
-PARTS = [store, ranking, problems]
+PARTS = [store, ranking, pages, problems]
 NAMES = [k for p in PARTS for k in p.ORACLES]
 
 
