@@ -28,6 +28,8 @@ once; texts without any line end are one line, however long.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -139,11 +141,59 @@ def url_id(url: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+KEY_BITS, PARTS, HELD = 48, 4096, 1 << 21
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """Keys as they are counted: keys that share their low bits count together, so a count is never too small."""
+    return keys & np.uint64((1 << KEY_BITS) - 1)
+
+
 def _keys(batches):
+    """(part, keys): the task's keys, sorted, as differences; a key costs some four bytes instead of a row."""
+
+    def packed(held):
+        k = np.sort(np.concatenate(held))
+        cut = np.searchsorted(k, np.arange(PARTS + 1, dtype=np.uint64) << np.uint64(KEY_BITS - PARTS.bit_length() + 1))
+        at = np.flatnonzero(np.diff(cut))
+        data = []
+        for p in at:
+            own = k[cut[p] : cut[p + 1]]
+            d = np.diff(own, prepend=own[:1] - own[:1] + (np.uint64(p) << np.uint64(KEY_BITS - PARTS.bit_length() + 1)))
+            data.append(zlib.compress(d.view(np.uint8).reshape(-1, 8)[:, : (KEY_BITS + 7) // 8 - 1].T.tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], names=["part", "keys"])
+
+    held, n = [], 0
     for b in _slices(batches):
         src, _, norm, masks = _read(b)
         if norm:
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(src, norm, masks)[1].ravel().view(np.int64))], names=["band"])
+            held.append(_short(keys_of(src, norm, masks)[1].ravel()))
+            n += len(held[-1])
+        if n >= HELD:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
+def _often(least: int):
+    """(band): keys that occur that often; all rows of a part are in one task."""
+
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        width = (KEY_BITS + 7) // 8 - 1
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(width, -1)
+                d = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+                d[:, :width] = raw.T
+                start = np.uint64(part) << np.uint64(KEY_BITS - PARTS.bit_length() + 1)
+                held.setdefault(part, []).append(start + np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64))
+        for part in list(held):
+            k, n = np.unique(np.concatenate(held.pop(part)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k[n >= least].view(np.int64))], names=["band"])
+
+    return run
 
 
 def _select(sent):
@@ -156,7 +206,7 @@ def _select(sent):
             if not norm:
                 continue
             lid, keys = keys_of(src, norm, masks)
-            keep = np.flatnonzero(passes(filt, keys).any(axis=1))
+            keep = np.flatnonzero(passes(filt, _short(keys)).any(axis=1))
             if len(keep):
                 form = [hash((int(lid[i]), *masks[i])) for i in keep]
                 new = [f not in seen and not seen.add(f) for f in form]
@@ -252,8 +302,8 @@ def repeated(df: DataFrame, url: str, source: str, text: str, min_docs: int = 5,
     docs = df.select(F.col(source).alias("source"), F.col(url).alias("url"), F.col(text).alias("text")).where("url IS NOT NULL")
     total = docs.select("source", F.xxhash64("url").alias("u")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     texts = docs.where("text IS NOT NULL")
-    often = texts.mapInArrow(_keys, "band BIGINT").groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(key_docs, min_docs))
-    sent = df.sparkSession.sparkContext.broadcast(filter_of(checkpoint(often.select("band"))))
+    often = texts.mapInArrow(_keys, "part INT, keys BINARY").repartition("part").mapInArrow(_often(min(key_docs, min_docs)), "band BIGINT")
+    sent = df.sparkSession.sparkContext.broadcast(filter_of(checkpoint(often)))
     at = checkpoint(texts.mapInArrow(_select(sent), LINES))
     once = at.select("lid", "uid").distinct()
     per_line = once.groupBy("lid").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -355,6 +355,20 @@ def test_a_chain_of_lines_that_are_each_too_rare(spark):
     assert clean == {f"u{i}": own[i] for i in range(12)}
 
 
+def test_packed_keys_are_counted_exactly(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(site_lines, "HELD", 500)
+    r = random.Random(41)
+    docs = [("A", f"u{i}", "\n".join(sentence(r, r.randint(1, 3)) for _ in range(6))) for i in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs)], names=["source", "url", "text"])
+    src, _, norm, masks = site_lines._read(b)
+    k, n = np.unique(site_lines._short(site_lines.keys_of(src, norm, masks)[1].ravel()), return_counts=True)
+    for least in (1, 2, 5):
+        got = np.concatenate([x.column(0).to_numpy() for x in site_lines._often(least)(site_lines._keys(iter([b])))]).view(np.uint64)
+        assert sorted(got.tolist()) == k[n >= least].tolist() and len(got)
+
+
 def test_pairs_at_the_bound_share_a_band():
     r = random.Random(31)
     hits, n = 0, 2000
