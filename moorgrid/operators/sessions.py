@@ -118,9 +118,10 @@ def _piece(batches):
     cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
     for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
         done, rest = _build(time[a:b], time[a:b], n[a:b], np.zeros(b - a), k == 0, k == len(cut) - 2)
-        sure, rest = _packed(rest)
-        done = [np.concatenate(x) for x in zip(done, sure)]
-        done = [x[done[3] < done[4]] for x in done]  # no threshold lies between equal gaps
+        if len(rest[0]) > 3:
+            sure, rest = _packed(rest)
+            done = [np.concatenate(x) for x in zip(done, sure)]
+            done = [x[done[3] < done[4]] for x in done]  # no threshold lies between equal gaps
         for rows, is_open in ((done, False), (rest, True)):
             if len(rows[0]):
                 yield pa.RecordBatch.from_arrays(
