@@ -41,7 +41,7 @@ from moorgrid.llm.near_dup import components
 from moorgrid.llm.words import mix
 from moorgrid.session import checkpoint
 
-BANDS, ROWS, MIN_LIKE = 5, 3, 0.8  # a pair of likeness 0.8 shares a band with probability 0.97
+BANDS, ROWS, MIN_LIKE = 4, 3, 0.8  # a pair of likeness 0.8 shares a band with probability 0.94
 LINES = "lid BIGINT, uid BIGINT, source STRING, line STRING, masked ARRAY<INT>, bands ARRAY<BIGINT>"
 _MASKS: dict[str, str] = {}
 _HASHES: dict[str, int] = {}
