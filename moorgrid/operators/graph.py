@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from moorgrid.session import checkpoint
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.15, max_iters: int = 100, tol: float = 1e-10, personalize: DataFrame | None = None, every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.15, max_iters: int = 100, tol: float = 1e-10, personalize: DataFrame | None = None, every: int = 3) -> DataFrame:
     """(v, score) from edges (src, dst), vertices (v) and optional teleport weights (v, weight).
 
     every: rounds in one job. Each round is tested; ranks of the first round whose change falls below tol
