@@ -239,6 +239,26 @@ def test_one_shingle_in_very_many_texts():
     assert time.time() - t < 60
 
 
+def test_postings_in_rounds_and_short_sets(spark, monkeypatch):
+    # about 7 KB of postings a set at this size; a round may write 8 bytes a shingle
+    got = near_dup._rounds(1_200_000, 180_000_000, 0.5, 74)
+    assert len(got) >= 3 and got[0][0] == 0 and got[-1][1] == 74 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+    assert near_dup._rounds(0, 0, 0.5, 8) == [(0, 8)] and near_dup._rounds(90_000, 14_000_000, 0.5, 7) == [(0, 7)]
+    r = random.Random(31)
+    s = [np.array(r.sample(range(1 << 62), 400), dtype=np.uint64) for _ in range(40)]
+    s = [np.unique(np.r_[x[:300], y[:100]]) for x, y in itertools.combinations(s, 2)]
+    a, b = s[0], s[1]
+    short = [np.sort((x >> np.uint64(24)).astype(np.uint16)).tobytes() for x in (a, b)]
+    assert near_dup._shared(*short, True)[0] >= near_dup._shared(a.tobytes(), b.tobytes(), False)[0] > 100
+    monkeypatch.setattr(near_dup, "ROUND_LEAST", 1)
+    monkeypatch.setattr(near_dup, "FLUSH_POSTS", 50)
+    base = [f"z{i}" for i in range(30)]
+    rows = [(f"u{i}", " ".join(w if r.random() < 0.85 else f"x{r.randrange(9)}" for w in base)) for i in range(90)]
+    monkeypatch.setattr(near_dup, "ROUND_BYTES", 1)
+    got = [(x["a"], x["b"]) for x in near_dup.pairs(spark.createDataFrame(rows, "url string, text string").repartition(3), "url", "text", 0.5, 2, 0).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(rows, 0.5, 2, 0) and len(got) > 90
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "url string, text string")
     assert near_dup.pairs(df, "url", "text").count() == 0 and near_dup.classes(df, "url", "text").count() == 0
