@@ -507,6 +507,30 @@ def test_prose_sample_takes_texts_once_and_short_ones_too(spark):
     assert sorted(got) == sorted({t for _, t in rows if t and t.strip()})
 
 
+def test_the_model_is_fitted_on_all_texts(spark):
+    # 5,000 short texts, more than a sample of 4,000 takes, one longer than 20,000 characters, and residue
+    r = random.Random(41)
+    texts = [sentence(r, 12) + f" own{i:x}\n" + sentence(r, 3) for i in range(5000)] + ["Only in this one " + sentence(r, 7000) + " zyxwvu. " + "Ä İ " * 5, "Oops\n404 - page not found\n" + sentence(r, 3), None, ""]
+    texts += ["Please enable JavaScript to view this page.", texts[0], texts[1].upper()]
+    urls = [f"h{i % 7}:/page/{'{{slug}}' if i == 9 else 'index'}_{i}.mu" for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(urls, texts)), "url string, text string").repartition(3)
+    assert len(texts[5000]) > 20_000
+    want, got = residue.fit([t for t in texts if t], urls), residue.fit_all(df, "url", "text")
+    assert want.keys() == got.keys() and all(np.array_equal(want[k], got[k]) for k in want)
+    rare = residue._hash(residue._plain(" zyxwvu. "), residue.N, residue.SIZE.bit_length() - 1)
+    assert (residue._line_counts([texts[5000].splitlines()[0]])[1][rare] > 0).all() and (got["notice"][rare] < 0).all()  # known as prose
+    assert len(residue.fit_all(df.limit(0), "url", "text")) == len(got)
+
+
+def test_proposals_of_urls_cover_all():
+    r = random.Random(14)
+    model = residue.fit([sentence(r, 60) for _ in range(50)])
+    urls = ["ab12:/page/your-text-goes-here.mu", "ab12:/page/lorem-ipsum.mu", "ab12:/page/lorem%20ipsum%20dolor.mu", "ab12:/insert_your_text_here", "ab12:/page/{{slug}}.mu", "h:/u%7B%7Bid%7D%7D.mu", None, "", "ab12:/page/index.mu", "x/${a}", "TODO_describe_your_node_here"] * 3
+    r.shuffle(urls)
+    assert all(m or not residue.url_residue(u, model) for u, m in zip(urls, residue.propose_urls(urls, model)))
+    assert not residue.propose_urls(["ab12:/page/index.mu"], model).any()
+
+
 def test_proposals_cover_all_judgements():
     r = random.Random(4)
     texts = [sentence(r, r.randint(0, 80)) + r.choice(["", " {{x}}", " lorem ipsum dolor sit amet tempor magna", "\n404 not found", "Your text goes here."]) + sentence(r, 5) for _ in range(300)] + [None, "", "x", "asdf asdf asdf asdf"]
