@@ -7,7 +7,7 @@ residue_examples combines out of common phrases, and for natural prose from all
 text). Residue in them is left out: a first model, whose prose skips the windows that mostly consist of
 the examples' n-grams, judges all texts, and the model is fitted again without the lines that only
 marked texts have. Counts of more than PROSE_GRAMS n-grams are scaled to that many, so a bound means the
-same whatever the size; n-grams expected less than half a time then say nothing. Two more models see only shapes (letters as one class), fitted on unfilled slots
+same whatever the size; n-grams expected less than half a time then say nothing, nor do those that a single line has, as it may be the one that is judged. Two more models see only shapes (letters as one class), fitted on unfilled slots
 beside the shapes of prose and of urls. A position's score is the logarithm of the ratio of a model
 to prose, 0 for an n-gram that neither has; windows whose mean score passes a bound localise
 residue, and the share of the text that they cover decides. A word repeated over and over is filler
@@ -300,7 +300,7 @@ def _ratio(own: np.ndarray, base: np.ndarray, floor: float) -> np.ndarray:
 def _tables(grams: np.ndarray, shape: np.ndarray, url: tuple[np.ndarray, int], seeds: dict[str, list[str]]) -> dict[str, np.ndarray]:
     """Score tables for prose with these counts of n-grams and shapes; url: counts of the urls' shapes, and how many."""
     talk, scale = _counts(seeds["talk"], N, SIZE), min(1.0, PROSE_GRAMS / max(grams.sum(), 1))
-    grams = grams * scale
+    grams = np.maximum(grams - 1, 0) * scale  # one line's own n-grams are no evidence that it is prose
     out = {name: _ratio(_counts(ls, N, SIZE), grams + talk, 0.02) for name, ls in seeds.items() if name != "talk"}
     # talk is part of the base that the others are compared with, so only corpus prose is its own base
     out["talk"] = _talk(talk, grams + talk)

@@ -510,7 +510,7 @@ def test_prose_sample_takes_texts_once_and_short_ones_too(spark):
 def test_the_model_is_fitted_on_all_texts(spark):
     # 5,000 short texts, more than a sample of 4,000 takes, one longer than 20,000 characters, and residue
     r = random.Random(41)
-    texts = [sentence(r, 12) + f" own{i:x}\n" + sentence(r, 3) for i in range(5000)] + ["Only in this one " + sentence(r, 7000) + " zyxwvu. " + "Ä İ " * 5, "Oops\n404 - page not found\n" + sentence(r, 3), None, ""]
+    texts = [sentence(r, 12) + f" own{i:x}\n" + sentence(r, 3) for i in range(5000)] + ["Only in this one " + sentence(r, 7000) + " zyxwvu. " + "Ä İ " * 5, "Another long one " + sentence(r, 7000) + " zyxwvu. Access refused, identify yourself.", "Oops\n404 - page not found\n" + sentence(r, 3), None, ""]
     texts += ["Please enable JavaScript to view this page.", texts[0], texts[1].upper()]
     urls = [f"h{i % 7}:/page/{'{{slug}}' if i == 9 else 'index'}_{i}.mu" for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(urls, texts)), "url string, text string").repartition(3)
@@ -519,6 +519,8 @@ def test_the_model_is_fitted_on_all_texts(spark):
     assert want.keys() == got.keys() and all(np.array_equal(want[k], got[k]) for k in want)
     rare = residue._hash(residue._plain(" zyxwvu. "), residue.N, residue.SIZE.bit_length() - 1)
     assert (residue._line_counts([texts[5000].splitlines()[0]])[1][rare] > 0).all() and (got["notice"][rare] < 0).all()  # known as prose
+    once = residue._hash(residue._plain("sed, identify your"), residue.N, residue.SIZE.bit_length() - 1)
+    assert (got["talk"] != 0).any() and (got["filler"][once] >= 0).all()  # what one line alone has says nothing
     assert len(residue.fit_all(df.limit(0), "url", "text")) == len(got)
 
 
